@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The vocabulary file that queries give to the operators, by its place on this machine.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 

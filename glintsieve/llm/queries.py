@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, url_filter
-from .common import table
-
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+from . import decontaminate, fingerprints, jaccard, language, packing, scoring, secrets, url_filter
+from .common import VOCABULARY, document_remainder, table
 
 # Fixed values of the query's contract.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_and_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(document_remainder(4) == 2, F.lit(False))
+    model = language.learn(docs, F.coalesce(document_remainder(4) != 2, F.lit(False)))
+    judged = language.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -32,10 +42,32 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = secrets.scan_documents(docs, secrets.learn(docs))
+    return scanned.select("doc_id", *[F.col(f"secrets.{c}").alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = scoring.score_documents(docs, scoring.trained_on(), VOCABULARY)
+    return scored.withColumn("held_out", F.coalesce(document_remainder(scoring.HELD_OUT) == 0, F.lit(False)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_edit_fingerprint": op1_edit_fingerprint,
+    "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_lm_score": op10_lm_score,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

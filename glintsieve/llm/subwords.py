@@ -38,7 +38,7 @@ class WordCache(dict):
         self.limit = limit
         self.shown = _visible_bytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def encode(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if plain:
             # A run of letters and one of punctuation are a piece each: the model alone is enough.
@@ -46,9 +46,12 @@ class WordCache(dict):
             ids = [t.id for p in pieces for t in self.model.tokenize(p if p.isascii() else "".join(map(self.shown.__getitem__, p.encode())))]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self[word] = self.encode(word)
         return packed
 
     def packed(self, text: str | None) -> bytes:
