@@ -23,6 +23,8 @@ STRIDE = 16
 WINDOW = 2 * STRIDE
 #: Windows that are scored together.
 TOGETHER = 256
+#: Numbers up to this have an exponential of which many still add up to a 32-bit float.
+LARGEST = 70.0
 LN10 = float(np.log(10))
 
 
@@ -85,20 +87,41 @@ class AttentionModel:
         logits += self.weights["direct"][inputs[:, STRIDE:].reshape(-1)]
         return logits
 
+    def fits(self) -> bool:
+        """Whether no score or logit can be so large that its exponential overflows; then none needs its maximum taken off."""
+        w = self.weights
+        longest = [float(np.sqrt((w[name].astype(np.float64) ** 2).sum(axis=1)).max()) for name in ("query", "key")]
+        score = longest[0] * longest[1] + float(np.abs(w["bias"]).max())
+        # A context is a mean of values, so each of its numbers is at most the largest of them.
+        logit = float(np.abs(w["direct"]).max()) + float((np.abs(w["value"]).max(axis=0) @ np.abs(w["out"])).max())
+        return max(score, logit) < LARGEST
+
     def scores(self, texts: Sequence[np.ndarray]) -> np.ndarray:
         """log10 of each text's probability, as a sequence of ids (one at least)."""
         inputs, targets, text = self.lay_out(texts)
+        w, fits = self.weights, self.fits()
+        near = w["bias"] + self.mask
+        ones = np.ones(self.classes, np.float32)
         out = np.zeros(len(texts))
         for i in range(0, len(inputs), TOGETHER):
             part = inputs[i : i + TOGETHER]
-            logits = self._logits(part, self._attend(part)[-1])
+            now = part[:, STRIDE:].reshape(-1)
+            scores = w["query"].take(now, axis=0).reshape(-1, STRIDE, WIDTH) @ w["key"].take(part, axis=0).transpose(0, 2, 1)
+            scores += near
+            if not fits:
+                scores -= scores.max(axis=2, keepdims=True)
+            np.exp(scores, out=scores)
+            context = scores @ w["value"].take(part, axis=0)
+            context /= scores.sum(axis=2, keepdims=True)
+            logits = context.reshape(-1, WIDTH) @ w["out"]
+            logits += w["direct"].take(now, axis=0)
             goal = targets[i : i + TOGETHER].reshape(-1)
             real = goal >= 0
             goal = np.where(real, goal, 0)
+            if not fits:
+                logits -= logits.max(axis=1, keepdims=True)
             picked = logits[np.arange(len(goal)), self.class_of[goal]]
-            most = logits.max(axis=1)
-            logits -= most[:, None]
-            top = picked - most - np.log(np.exp(logits, out=logits).sum(axis=1))
+            top = picked - np.log(np.exp(logits, out=logits) @ ones)
             out += np.bincount(np.repeat(text[i : i + TOGETHER], STRIDE), (top + self.log_share[goal]) * real, len(texts))
         return out / LN10
 

@@ -86,6 +86,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The counts of all words from some count on, as many as there can be up to ``most``."""
+    # Counts by steps of a sixteenth of their logarithm: a few hundred steps, whatever the corpus.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = sorted(((r["s"], r["words"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, held = None, 0
+    for s, words in steps:
+        held += words
+        if held > most:
+            break
+        least = s
+    if least is None:
+        return {}
+    rows = counts.where(step >= least).select("word", "n").toArrow()
+    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+
+
 def id_counts(counts: DataFrame, vocabulary: str, size: int, end_id: int) -> np.ndarray:
     """How often each subword id occurs in the counted words; each document's end is ``end_id``."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
@@ -149,7 +166,7 @@ def score_documents(docs: DataFrame, usable: Column, vocabulary: str, frequent:
     counts = cut(word_counts(training))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_tokens, distinct = int(total["n"]), int(total["v"])
-    known = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()}
+    known = frequent_words(counts, frequent)
     everything = len(known) == distinct
     known.pop(b"", None)
     ends = counts.where("word = X''").first()

@@ -37,13 +37,20 @@ class WordCache(dict):
         self.model = self.tokenizer.model
         self.limit = limit
         self.shown = _visible_bytes()
+        self.marks: dict[str, list[int]] = {}
 
     def encode(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
         if plain:
             # A run of letters and one of punctuation are a piece each: the model alone is enough.
-            pieces = [plain[1].lower(), plain[2]] if plain[2] else [plain[1].lower()]
-            ids = [t.id for p in pieces for t in self.model.tokenize(p if p.isascii() else "".join(map(self.shown.__getitem__, p.encode())))]
+            piece, marks = plain[1].lower(), plain[2]
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode())))]
+            if marks:
+                if marks not in self.marks:
+                    if len(self.marks) >= 10_000:
+                        self.marks.clear()
+                    self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
+                ids += self.marks[marks]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
