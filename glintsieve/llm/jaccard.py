@@ -4,11 +4,14 @@ A document's set is its distinct word shingles, as 64-bit hashes.  Documents tha
 reach the threshold are brought together exactly, in two steps.
 
 Routing.  Two sets that link differ in few shingles, at most D for a class of sizes.
-The hash range is cut into D + 1 parts (and ``SLACK`` more), so two linked sets agree
-on a whole part, whose digest is a routing key.  A set may leave out its empty parts if
-they are no more than the slack, for then two linked sets agree on another part as
-well.  Tasks combine equal keys before the shuffle, so a key that very many documents
-share costs one entry a task.  Components of the sets that share keys are families.
+The hash range is cut into D + 1 + S parts, so two linked sets agree on S + 1 whole
+parts at least.  Each set leaves out the S parts that tell least, in an order that
+depends on a part's content alone: fewest rare shingles first.  Of the parts that two
+linked sets agree on, the last in that order has S others before it in neither set's
+left-out ones, so both keep it: its digest is a routing key that they share.  Which
+shingles are frequent is told by a sample; it changes how few keys strangers share, and
+never the result.  Tasks combine equal keys before the shuffle, so a key that very many
+documents share costs one entry a task.  Components of sets that share keys are families.
 
 Signature trees.  Each family, in blocks of ``BLOCK`` sets, is made into trees: a node
 has the OR of the token bitmaps below it and the range of sizes.  Two trees are
@@ -36,8 +39,10 @@ from .graph import components
 #: Sets in a block of a family.
 BLOCK = 128
 LEAF, FANOUT = 8, 4
-#: Parts beyond those that a link needs; so many empty parts give no key.
-SLACK = 2
+#: Parts beyond those that a link needs, as a share of the shingles that may differ and a few more; so many give no key.
+SLACK_SHARE, SLACK = 1.0, 2
+#: Documents, about, whose shingles tell which are frequent; in how many of them such a one is; and how many are kept at most.
+ROUTING_SAMPLE, FREQUENT_IN, FREQUENT_SHINGLES = 8000, 2, 500_000
 #: The sizes of a class grow by this factor.
 CLASS_RATIO = 1.4
 #: Routing buckets for each shuffle partition.
@@ -51,6 +56,7 @@ CACHED_WORDS = 400_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x1234567890ABCDEF & 2**64 - 1 | 1) for i in range(1, 65)]
 _DROP = np.uint64(31)
+_NONE = np.empty(0, np.uint64)
 
 
 class _WordHashes(dict):
@@ -104,29 +110,56 @@ def _classes(longest: int) -> tuple[int, ...]:
     return tuple(starts)
 
 
-def routing_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set that is not empty; two sets with a Jaccard of num/den or more share one."""
+def routing_keys(shingles: np.ndarray, num: int, den: int, frequent: np.ndarray = _NONE) -> np.ndarray:
+    """The keys of a set that is not empty; two sets with a Jaccard of num/den or more share one.
+
+    ``frequent`` are sorted hashes, the same for all sets.
+    """
     size = len(shingles)
     starts = _classes(1 << (size * den // num + 1).bit_length())
     mixed = _mix(shingles, _ODD[54])
     high = shingles >> np.uint64(32)
+    rare = np.ones(size, np.int64)
+    if len(frequent):
+        rare -= frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
     keys = []
     # As the larger of a pair a set is in its own class, as the smaller in those of all larger partners.
     for c in range(int(np.searchsorted(starts, size, "right")) - 1, int(np.searchsorted(starts, size * den // num, "right"))):
         largest = starts[c + 1] - 1
         differ = 2 * largest * (den - num) // (den + num)
-        parts = differ + 1 + SLACK
-        part = (high * np.uint64(parts)) >> np.uint64(32)
+        slack = SLACK + int(SLACK_SHARE * differ)
+        parts = differ + 1 + slack
+        part = ((high * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        digests = np.add.reduceat(mixed, first)
-        names = part[first]
-        if parts - len(first) > SLACK:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), names)
-            names, digests = np.concatenate((names, empty)), np.concatenate((digests, np.zeros(len(empty), np.uint64)))
-        keys.append(_mix(digests + _mix(names + np.uint64(1) + (np.uint64(c) << np.uint64(40)), _ODD[55]), _ODD[56]))
+        digest = np.zeros(parts, np.uint64)
+        digest[part[first]] = np.add.reduceat(mixed, first)
+        some, telling = np.bincount(part, minlength=parts), np.bincount(part, rare, parts)
+        kept = np.lexsort((np.arange(parts), digest, some, telling))[slack:]
+        keys.append(_mix(digest[kept] + _mix((kept + 1).astype(np.uint64) + (np.uint64(c) << np.uint64(40)), _ODD[55]), _ODD[56]))
     return np.concatenate(keys)
 
 
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles in several documents of a bounded sample, the most frequent ones.
+
+    The sample is by a hash of the text and takes a text once or more as it occurs.
+    """
+    share = min(1.0, ROUTING_SAMPLE / max(1, docs.count()))
+    sampled = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(0)]
+            if sets:
+                values, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
+
+    counted = sampled.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_IN)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT_SHINGLES).select("shingle").toArrow().column(0)
+    return np.sort(np.asarray(found.to_numpy(), np.int64).view(np.uint64))
+
+
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with their least node, and the distinct edges (node, least node) of keys with several."""
     order = np.lexsort((nodes, keys))
@@ -152,6 +185,7 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """One row for each document (doc_id, n_shingles, h1, h2) and one for each edge (a, b) between set digests."""
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -167,7 +201,7 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 twos.append(two)
                 if len(shingles) and (one, two) not in seen:
                     seen.add((one, two))
-                    keys.append(routing_keys(shingles, num, den))
+                    keys.append(routing_keys(shingles, num, den, frequent.value))
                     nodes.append(np.full(len(keys[-1]), one, np.int64))
             turn += 1
             if ids:

@@ -52,11 +52,14 @@ def near_copies(draw, families, copies, size):
 
 
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
-def test_linked_sets_share_a_key(words, num, den):
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_linked_sets_share_a_key(words, num, den, share):
+    """Whatever is called frequent: none, some or all of a set's shingles."""
     draw = np.random.default_rng(words)
-    for _ in range(400):
+    for _ in range(150):
         size = int(draw.integers(1, 300))
         one = np.unique(draw.integers(0, 2**64, size, dtype=np.uint64))
+        frequent = np.sort(one[draw.random(len(one)) < share])
         two = one
         while True:
             changed = two.copy()
@@ -73,7 +76,7 @@ def test_linked_sets_share_a_key(words, num, den):
             if not len(changed) or den * common < num * (len(one) + len(changed) - common):
                 break
             two = changed
-            assert np.intersect1d(jaccard.routing_keys(one, num, den), jaccard.routing_keys(two, num, den)).size
+            assert np.intersect1d(jaccard.routing_keys(one, num, den, frequent), jaccard.routing_keys(two, num, den, frequent)).size
 
 
 @pytest.mark.parametrize("seed", range(6))
