@@ -47,6 +47,12 @@ class Gate:
     def as_mapping(self) -> dict:
         return {f.name: sorted(self.charsets) if f.name == "charsets" else getattr(self, f.name) for f in fields(self)}
 
+    def as_row(self) -> tuple:
+        """The fields' values in order, thresholds as floats."""
+        thresholds = ("min_entropy", "min_normalized", "min_charset_coverage", "max_word_likeness")
+        values = self.as_mapping()
+        return tuple(float(v) if k in thresholds else v for k, v in values.items())
+
     def as_struct(self) -> Column:
         names = [F.lit(x) for x in sorted(self.charsets)]
         parts = {f.name: F.lit(getattr(self, f.name)) for f in fields(self) if f.name != "charsets"}

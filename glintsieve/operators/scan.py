@@ -34,9 +34,12 @@ def screened(lines: DataFrame, rules: RuleSet, options: Options | None = None) -
     return lines.where(F.lower("line").rlike(pattern)) if pattern else lines.where("line != ''")
 
 
-def _rule_column(rules: RuleSet, value) -> Column:
-    """A value of each rule, as a column, by the candidate's rule number."""
-    return F.array(*map(value, rules.rules))[F.col("rule_ord")]
+def rule_table(lines: DataFrame, rules: RuleSet) -> DataFrame:
+    """What candidates get from their rule, a row for each rule; it is as small as the rule files."""
+    gate_kinds = "enabled boolean, min_entropy double, min_normalized double, min_length int, max_length int, min_charset_coverage double, max_repeat_run int, max_sequential_run int, max_word_likeness double, reject_encoded_text boolean, reject_placeholders boolean, reject_uuid boolean, charsets array<string>"
+    kinds = "rule_ord int, rule_id string, rule_name string, pack string, severity string, severity_rank int, tags array<string>, _base double, _required boolean, _gate struct<" + gate_kinds.replace(", ", ",").replace(" ", ":") + ">"
+    rows = [(i, r.id, r.name, r.pack, r.severity, severity_rank(r.severity), list(r.tags), CONFIDENCES[r.confidence], r.require_keyword, r.gate.as_row()) for i, r in enumerate(rules.rules)]
+    return lines.sparkSession.createDataFrame(rows, kinds)
 
 
 def candidates(lines: DataFrame, rules: RuleSet, options: Options | None = None) -> DataFrame:
@@ -62,17 +65,7 @@ def candidates(lines: DataFrame, rules: RuleSet, options: Options | None = None)
     given = F.col("raw") if "raw" in lines.columns else F.col("line")
     hit = screened(lines.where("line is not null"), rules, options).withColumn("_d", detect(given))
     out = hit.select("source", "line_no", "byte_offset", "_d.context", F.posexplode("_d.found").alias("ord", "_c")).select("*", "_c.*").drop("_c")
-    out = out.withColumns({
-        "rule_id": _rule_column(rules, lambda r: F.lit(r.id)),
-        "rule_name": _rule_column(rules, lambda r: F.lit(r.name)),
-        "pack": _rule_column(rules, lambda r: F.lit(r.pack)),
-        "severity": _rule_column(rules, lambda r: F.lit(r.severity)),
-        "severity_rank": _rule_column(rules, lambda r: F.lit(severity_rank(r.severity))),
-        "tags": _rule_column(rules, lambda r: F.array(*map(F.lit, r.tags)).cast("array<string>")),
-        "_gate": _rule_column(rules, lambda r: r.gate.as_struct()),
-        "_base": _rule_column(rules, lambda r: F.lit(CONFIDENCES[r.confidence])),
-        "_required": _rule_column(rules, lambda r: F.lit(r.require_keyword)),
-    })
+    out = out.join(F.broadcast(rule_table(lines, rules)), "rule_ord")
     out = gates.judge(out, F.col("secret"), F.col("_gate")).withColumnRenamed("reason", "_why")
     bonus = F.when(F.col("keyword_near"), options.keyword_bonus).otherwise(0.0) + F.when(F.col("structured"), options.structured_bonus).otherwise(0.0)
     out = out.withColumn("score", F.round(F.least(F.greatest(F.col("_base") + F.col("delta") + bonus, F.lit(0.0)), F.lit(1.0)), 4))

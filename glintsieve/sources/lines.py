@@ -100,7 +100,7 @@ def _text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     out = placed.join(sums, ["source", "block"])
     name = F.regexp_replace(F.url_decode("source"), r"\Afile:/+", "/")
     raw = F.when(F.endswith("raw", F.lit(b"\r")), F.expr("substring(raw, 1, octet_length(raw) - 1)")).otherwise(F.col("raw"))
-    return out.select(name.alias("source"), (F.col("lines_before") + F.col("n")).alias("line_no"), (F.col("bytes_before") + F.col("inside")).alias("byte_offset"), F.col("raw")).select("source", "line_no", "byte_offset", without_return(F.decode(F.col("raw"), "UTF-8")).alias("line"), raw.alias("raw"))
+    return out.select(name.alias("source"), (F.col("lines_before") + F.col("n")).alias("line_no"), (F.col("bytes_before") + F.col("inside")).alias("byte_offset"), F.col("raw")).select("source", "line_no", "byte_offset", without_return(F.make_valid_utf8(F.col("raw").cast("string"))).alias("line"), raw.alias("raw"))
 
 
 def _open(path: str):

@@ -45,7 +45,7 @@ def test_placeholders_masks_and_fingerprints(spark):
 
 
 REJECTED = [
-    ("aB3$x", "too-short(<16)"), ("a" * 24, "low-charset-coverage(0.04)"), ("3f2504e0-4f89-11d3-9a0c-0305e82c3301", "uuid-shape"), ("2024-05-06T07:08:09.123Z", "timestamp-shape"),
+    ("aB3$x", "too-short(<16)"), ("a" * 24, "low-charset-coverage(0.06)"), ("3f2504e0-4f89-11d3-9a0c-0305e82c3301", "uuid-shape"), ("2024-05-06T07:08:09.123Z", "timestamp-shape"),
     ("1234509876123450987", "numeric-only"), ("abcdefghijklmnopqrstuvwx", "sequential-run(24)"), ("eyJ1c2VyIjoiYWxpY2UifSAgICAg", "base64-decodes-to-text"),
     ("ApplicationContextInitializerListener", "natural-language-like"), ("changeme-q8Zt5xKw", "placeholder-or-doc-example"), ("q" * 8 + "Zt5xKw9Lp3Rv7Yb2", "repeated-run(8)"),
 ]

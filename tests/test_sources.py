@@ -27,19 +27,24 @@ def expected(raw):
     return out[:-1] if raw.endswith(b"\n") else out
 
 
-@pytest.mark.parametrize("raw", [RAW, RAW + b"\n", b"\n", b"x"])
-@pytest.mark.parametrize(("suffix", "pack"), [(".log", bytes), (".log.gz", gzip.compress), (".log.bz2", bz2.compress), (".log.xz", lzma.compress)])
-def test_lines_and_offsets(spark, tmp_path, raw, suffix, pack):
-    path = tmp_path / f"a b{suffix}"
-    path.write_bytes(pack(raw))
+def test_lines_and_offsets(spark, tmp_path):
+    """All kinds of files in one read; the long plain one is several splits."""
+    want = {}
+    for n, raw in enumerate([RAW, RAW + b"\n", b"\n", b"x"]):
+        for suffix, pack in ((".log", bytes), (".log.gz", gzip.compress), (".log.bz2", bz2.compress), (".log.xz", lzma.compress)):
+            path = tmp_path / f"a {n}{suffix}"
+            path.write_bytes(pack(raw))
+            want[str(path)] = expected(raw)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")  # several splits of one file
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "15000")
     try:
-        rows = read_lines(spark, [str(path)]).orderBy("line_no").collect()
+        rows = read_lines(spark, list(want)).orderBy("source", "line_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [(r.line_no, r.byte_offset, bytes(r.raw)) for r in rows] == expected(raw)
-    assert {r.source for r in rows} == {str(path)}
+    got = {}
+    for r in rows:
+        got.setdefault(r.source, []).append((r.line_no, r.byte_offset, bytes(r.raw)))
+    assert got == want
 
 
 def test_empty_file_and_several(spark, tmp_path):
