@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintsieve.llm import decontaminate, jaccard, language, packing, secrets
-from glintsieve.llm.common import VOCABULARY, cut, shared_folder, table
+from glintsieve.llm.common import VOCABULARY, cut, shared_folder, table, unused
 
-#: Documents whose language has a smaller share than this among all are rejected.
-LEAST_LANGUAGE_SHARE = 0.5
+#: Documents whose language has a smaller share than this among all are rejected: no language stands out at all.
+LEAST_LANGUAGE_SHARE = 0.3
 #: Near duplicates: words of a shingle, and the least Jaccard in hundredths.
 SHINGLE_WORDS, LEAST_JACCARD = 5, 80
 #: Up to so many ids are broadcast; beyond, both sides are shuffled.
@@ -23,9 +23,10 @@ BROADCAST_IDS = 500_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or none that has most of the evidence."""
-    judged = language.identify(docs, language.learn(docs, F.lit(True)), "_language")
-    known = (F.col("_language.lang_pred") != language.UNDETERMINED) & (F.col("_language.score") >= LEAST_LANGUAGE_SHARE)
+    """Drops documents without a language: no letters, or no language that stands out."""
+    own = unused(docs, "language")
+    judged = language.identify(docs, language.learn(docs, F.lit(True)), own)
+    known = (F.col(own)["lang_pred"] != language.UNDETERMINED) & (F.col(own)["score"] >= LEAST_LANGUAGE_SHARE)
     return judged.where(known).select(*docs.columns)
 
 
@@ -37,26 +38,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = cut(jaccard.jaccard_components(docs.select("doc_id", "text"), SHINGLE_WORDS, LEAST_JACCARD, 100))
     gone = cut(groups.where("component_id != doc_id").select("doc_id").distinct())
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    again = cut(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
+    rows, words, nth = unused(docs, "rows"), unused(docs, "words"), unused(docs, "nth")
+    again = cut(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1))
     if again.isEmpty():
         return kept.select(*docs.columns)
     # Some doc_id has several rows with words: of each, the row with the least text stays.
-    marked = kept.join(again, "doc_id", "left").withColumn("_words", F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")) > 0, F.lit(False)))
-    several = F.col("_rows").isNotNull() & F.col("_words")
-    first = marked.where(several).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1")
+    marked = kept.join(again, "doc_id", "left").withColumn(words, F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")) > 0, F.lit(False)))
+    several = F.col(rows).isNotNull() & F.col(words)
+    first = marked.where(several).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1)
     return marked.where(~several).select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words lies in windows of test items."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out_col="_contamination")
-    return judged.where(~F.col("_contamination.contaminated")).select(*docs.columns)
+    own = unused(docs, "contamination")
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out_col=own)
+    return judged.where(~F.col(own)["contaminated"]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every character of a secret with an asterisk; all documents stay, as long as they were."""
-    net = secrets.learn(docs)
-    return secrets.scan_documents(docs, net, "_secrets", redact=True).withColumn("text", F.col("_secrets.redacted")).select(*docs.columns)
+    own = unused(docs, "secrets")
+    return secrets.scan_documents(docs, secrets.learn(docs), own, redact=True).withColumn("text", F.col(own)["redacted"]).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

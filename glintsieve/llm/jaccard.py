@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, partitions
+from .common import LOWER, UPPER, cut, give_back, partitions
 from .graph import components
 
 #: Sets in a block of a family.
@@ -50,8 +50,11 @@ BUCKETS_PER_PARTITION = 4
 #: Up to so many rows, two numbers each, the candidates' ids are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Entries of a block's incidence matrix; blocks of longer documents are counted set by set.
-MATRIX_ENTRIES = 24_000_000
-CACHED_WORDS = 400_000
+MATRIX_ENTRIES = 12_000_000
+#: Hashes of words that a worker remembers; they are cheap to make again.
+CACHED_WORDS = 100_000
+#: Documents whose keys are combined together in a task.
+TOGETHER = 1500
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x1234567890ABCDEF & 2**64 - 1 | 1) for i in range(1, 65)]
@@ -189,33 +192,40 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in batches:
-            ids, sizes, ones, twos = batch.column(0).to_pylist(), [], [], []
-            keys, nodes = [], []
-            seen: set[tuple[int, int]] = set()
-            for text in batch.column(1):
-                shingles = shingle_set(text.as_py(), words)
-                one, two = set_digest(shingles) if len(shingles) else (None, None)
-                sizes.append(len(shingles))
-                ones.append(one)
-                twos.append(two)
-                if len(shingles) and (one, two) not in seen:
-                    seen.add((one, two))
-                    keys.append(routing_keys(shingles, num, den, frequent.value))
-                    nodes.append(np.full(len(keys[-1]), one, np.int64))
-            turn += 1
-            if ids:
-                yield _rows(_ROUTED, bucket=[(turn * 7919 + i) % buckets for i in range(len(ids))], doc_id=ids, n_shingles=sizes, h1=ones, h2=twos)
-            if not keys:
-                continue
-            key, node, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
-            if len(a):
-                yield _rows(_ROUTED, bucket=(np.abs(a) % buckets).astype(np.int32), a=a, b=b)
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # keys are sorted, and so are buckets
-            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            ends = np.append(edge[1:], len(key))
-            blobs = [key[x:y].tobytes() + node[x:y].tobytes() for x, y in zip(edge.tolist(), ends.tolist(), strict=True)]
-            yield _rows(_ROUTED, bucket=bucket[edge].astype(np.int32), blob=blobs)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, TOGETHER):
+                    turn += 1
+                    yield from emit_some(whole.slice(at, TOGETHER), turn)
+        finally:
+            _HASHES.clear()
+            give_back()
+
+    def emit_some(batch: pa.RecordBatch, turn: int) -> Iterator[pa.RecordBatch]:
+        ids, sizes, ones, twos = batch.column(0).to_pylist(), [], [], []
+        keys, nodes = [], []
+        seen: set[tuple[int, int]] = set()
+        for text in batch.column(1):
+            shingles = shingle_set(text.as_py(), words)
+            one, two = set_digest(shingles) if len(shingles) else (None, None)
+            sizes.append(len(shingles))
+            ones.append(one)
+            twos.append(two)
+            if len(shingles) and (one, two) not in seen:
+                seen.add((one, two))
+                keys.append(routing_keys(shingles, num, den, frequent.value))
+                nodes.append(np.full(len(keys[-1]), one, np.int64))
+        yield _rows(_ROUTED, bucket=[(turn * 7919 + i) % buckets for i in range(len(ids))], doc_id=ids, n_shingles=sizes, h1=ones, h2=twos)
+        if not keys:
+            return
+        key, node, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
+        if len(a):
+            yield _rows(_ROUTED, bucket=(np.abs(a) % buckets).astype(np.int32), a=a, b=b)
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # keys are sorted, and so are buckets
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ends = np.append(edge[1:], len(key))
+        blobs = [key[x:y].tobytes() + node[x:y].tobytes() for x, y in zip(edge.tolist(), ends.tolist(), strict=True)]
+        yield _rows(_ROUTED, bucket=bucket[edge].astype(np.int32), blob=blobs)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -241,6 +251,7 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     at = bucket
                 held.append(blob)
         yield from flush()
+        give_back()
 
     routed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(emit, _ROUTED_KINDS)
     dealt = routed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
@@ -388,7 +399,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [shingle_set(t, words) for t in batch["text"]]
+            made = [shingle_set(t, words) for t in batch.pop("text")]
             same = [len(s) > 0 and set_digest(s) == (a, b) for s, a, b in zip(made, batch["h1"], batch["h2"], strict=True)]
             batch["shingles"] = [s.tobytes() for s in made]
             yield batch.loc[same, ["rep", "family", "blocks", "block", "shingles"]]

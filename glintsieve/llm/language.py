@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 UNDETERMINED = "und"
 #: Labelled documents of each language, about, from which the model is learnt.
 SAMPLE_PER_LANGUAGE = 600
@@ -26,7 +28,7 @@ LONGEST, STEP_BACK = 4, math.log(0.4)
 #: Added to each count.
 SMOOTHING = 0.1
 #: Unseen words that a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -77,6 +79,11 @@ class LanguageModel:
                 return (LONGEST + 1 - n) * STEP_BACK + table.logs[found].sum(axis=0)
         return np.zeros(len(self.languages))
 
+    def forget(self) -> None:
+        """Drops the remembered words."""
+        self.cache.clear()
+        self.rows = np.empty((1024, len(self.languages)))
+
     def _remember(self, word: str) -> int:
         at = self.cache[word] = len(self.cache)
         if at == len(self.rows):
@@ -132,7 +139,11 @@ def identify(docs: DataFrame, model: LanguageModel, out_col: str = "language") -
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for batch in texts:
-            yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score"])
+        try:
+            for batch in texts:
+                yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score"])
+        finally:
+            own.forget()
+            give_back()
 
     return docs.withColumn(out_col, predict(F.col("text").cast("string")))

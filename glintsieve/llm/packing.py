@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, give_back, partitions
 from .subwords import word_cache
 
 CAPACITY = 2048
@@ -131,14 +131,18 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(vocabulary)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = cache.packed(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = cache.packed(text.as_py()) + end
+                    for piece, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        finally:
+            cache.clear()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, kinds)
 
