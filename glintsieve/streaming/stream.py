@@ -16,8 +16,6 @@ from ..operators.rules import RuleSet
 from ..operators.scan import candidates, findings
 from ..sources.containers import MAX_BYTES, records
 
-#: A container's unfinished line is passed on when nothing has come for so long.
-IDLE = "10 minutes"
 _LINE = "source string, stream string, time string, first_line long, last_line long, text string"
 _STATE = "text string, time string, first_line long, last_line long"
 
@@ -40,13 +38,14 @@ def stream_groups(spark: SparkSession, folder: str) -> DataFrame:
     return group_findings(spark.read.parquet(folder).drop("batch"))
 
 
-def reassemble_stream(lines: DataFrame, max_bytes: int = MAX_BYTES, idle: str = IDLE) -> DataFrame:
+def reassemble_stream(lines: DataFrame, max_bytes: int = MAX_BYTES, idle: str | None = None) -> DataFrame:
     """Container lines of a stream, joined for each source and stream; the state is the unfinished line.
 
-    Lines that are no records pass, as in the batch form.  An unfinished line is passed
-    on when its stream has been idle.
+    Lines that are no records pass, as in the batch form.  With ``idle``, like ``10
+    minutes``, an unfinished line is passed on when its stream has been idle so long;
+    such a query has to look for idle streams and never ends by itself.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
     read = records(lines.where("line is not null")).withColumn("stream", F.coalesce("stream", F.lit("")))
 
     def join(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -67,10 +66,11 @@ def reassemble_stream(lines: DataFrame, max_bytes: int = MAX_BYTES, idle: str =
                 held = None
         if held:
             state.update(tuple(held))
-            state.setTimeoutDuration(wait)
+            if wait:
+                state.setTimeoutDuration(wait)
         elif state.exists:
             state.remove()
         text = lambda t: t[:-2] if t.endswith("\r\n") else t.removesuffix("\n")
         yield pd.DataFrame([(source, stream, t, a, b, text(x)) for x, t, a, b in out], columns=["source", "stream", "time", "first_line", "last_line", "text"])
 
-    return read.groupBy("source", "stream").applyInPandasWithState(join, _LINE, _STATE, "append", "ProcessingTimeTimeout")
+    return read.groupBy("source", "stream").applyInPandasWithState(join, _LINE, _STATE, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")

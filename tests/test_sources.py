@@ -102,16 +102,14 @@ def test_containers(spark):
 def test_container_stream(spark, tmp_path):
     schema = "source string, line_no long, line string"
     lines = spark.createDataFrame([("c", i + 1, x) for i, x in enumerate(CONTAINER)], schema)
-    lines.where("line_no <= 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = reassemble_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), max_bytes=40)
-    query = stream.writeStream.format("memory").queryName("joined").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        query.processAllAvailable()
-        lines.where("line_no > 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query.processAllAvailable()
-        got = {tuple(r)[1:] for r in spark.sql("SELECT * FROM joined").collect()}
-    finally:
-        query.stop()
+    for part in ("line_no <= 4", "line_no > 4"):  # the state outlives the first run
+        lines.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = reassemble_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), max_bytes=40)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        if not query.awaitTermination(120):
+            query.stop()
+            pytest.fail("the stream does not end")
+    got = {tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == JOINED - {("stdout", None, 11, 11, "open")}  # not ended yet
 
 
