@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gate as gates
@@ -122,8 +122,7 @@ def gate_verdicts(spark, sf_dir):
     return judged.select("id", F.regexp_replace(F.coalesce("reason", F.lit("accepted")), r"\(.*", "").alias("verdict"))
 
 
-@F.pandas_udf("schema string, context map<string,string>, leaves array<struct<path:string,key:string,value:string>>")
-def record_of(lines: pd.Series) -> pd.DataFrame:
+def _records(lines: pd.Series) -> pd.DataFrame:
     rows = []
     for line in lines:
         record = leaves.parse(line or "")
@@ -131,6 +130,11 @@ def record_of(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["schema", "context", "leaves"])
 
 
+def record_of(line: str) -> Column:
+    """Schema, context and string leaves of a JSON line."""
+    return F.pandas_udf(_records, "schema string, context map<string,string>, leaves array<struct<path:string,key:string,value:string>>")(line)
+
+
 def json_leaves(spark, sf_dir):
     made = cloud_lines(spark, sf_dir).withColumn("_r", record_of("line"))
     return made.select(F.col("line_no").alias("event_id"), F.explode("_r.leaves").alias("l")).select("event_id", "l.path", "l.value")
