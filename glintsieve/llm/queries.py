@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard, language, packing, scoring, secrets, url_filter
+from . import decontaminate, fingerprints, jaccard, language, licenses, packing, scoring, secrets, training_order, url_filter
 from .common import VOCABULARY, document_remainder, table
 
 # Fixed values of the query's contract.
@@ -19,6 +19,10 @@ def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.next_and_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), spark.createDataFrame(licenses.KNOWN, "license_id string, text string"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(document_remainder(4) == 2, F.lit(False))
@@ -46,6 +50,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = secrets.scan_documents(docs, secrets.learn(docs))
@@ -60,17 +68,33 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_fingerprint": op1_edit_fingerprint,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_training_order": op8_training_order,
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_score": op10_lm_score,
     "pipeline": corpus_pipeline.run,
 }
 
+def _canonical_sql(text: str) -> str:
+    form = f"lower(regexp_replace(coalesce({text}, ''), '(?im)^[^\\n\\p{{L}}]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g'))"
+    for other, one in licenses.SPELLINGS:
+        form = f"replace({form}, '{other}', '{one}')"
+    return f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+_KNOWN_SQL = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in licenses.KNOWN)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": f"""
+WITH d AS (SELECT doc_id, {_canonical_sql("text")} AS form FROM documents),
+     k AS (SELECT sha256({_canonical_sql("text")}) AS h, min(name) AS license_id FROM (VALUES {_KNOWN_SQL}) t(name, text) GROUP BY 1)
+SELECT doc_id, CASE WHEN form != '' THEN sha256(form) END AS canonical_sha256, k.license_id FROM d LEFT JOIN k ON form != '' AND sha256(form) = k.h
+""",
     "op4_url_filter": r"""
 WITH parts AS (
     SELECT page_id,
