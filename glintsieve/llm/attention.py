@@ -125,16 +125,20 @@ class AttentionModel:
             out += np.bincount(np.repeat(text[i : i + TOGETHER], STRIDE), (top + self.log_share[goal]) * real, len(texts))
         return out / LN10
 
-    def start_from(self, texts: Sequence[np.ndarray], prior: float = 20.0) -> None:
-        """Direct logits from how classes follow inputs in these texts."""
+    def transitions(self, texts: Sequence[np.ndarray]) -> np.ndarray:
+        """How often each class follows each input in these texts; tables of several texts add up."""
         inputs, targets, _ = self.lay_out(texts)
         now, goal = inputs[:, STRIDE:].reshape(-1), targets.reshape(-1)
         now, goal = now[goal >= 0], self.class_of[goal[goal >= 0]]
+        return np.bincount(now * self.classes + goal, minlength=len(self.weights["direct"]) * self.classes).reshape(-1, self.classes)
+
+    def start_from(self, table: np.ndarray, prior: float = 20.0) -> None:
+        """Direct logits from how often classes follow inputs."""
         base = np.exp(self.weights["direct"][0].astype(np.float64))
-        table = np.bincount(now * self.classes + goal, minlength=len(self.weights["direct"]) * self.classes).reshape(-1, self.classes)
         self.weights["direct"] = np.log((table + prior * base) / (table.sum(axis=1, keepdims=True) + prior)).astype(np.float32)
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, direct: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss in nats, and its gradients; without ``direct``, those of the other weights."""
         w = self.weights
         query, key, value, share, context = self._attend(inputs)
         logits = self._logits(inputs, context)
@@ -153,35 +157,54 @@ class AttentionModel:
         d_scores = share * (d_share - (d_share * share).sum(axis=2, keepdims=True))
         last, every = inputs[:, STRIDE:].reshape(-1), inputs.reshape(-1)
         out = {"out": context.reshape(-1, WIDTH).T @ p, "bias": d_scores.sum(axis=0)}
-        for name, at, d in (("query", last, d_scores @ key), ("key", every, d_scores.transpose(0, 2, 1) @ query), ("value", every, share.transpose(0, 2, 1) @ d_context), ("direct", last, p)):
+        parts = [("query", last, d_scores @ key), ("key", every, d_scores.transpose(0, 2, 1) @ query), ("value", every, share.transpose(0, 2, 1) @ d_context)]
+        for name, at, d in parts + [("direct", last, p)] * direct:
             out[name] = _scattered(at, d.reshape(len(at), -1), len(w[name]))
         return loss, out
 
-    def train(self, texts: Sequence[np.ndarray], epochs: int = 3, rate: float = 0.02, together: int = 256, seed: int = 9) -> list[float]:
-        """Adam with a falling rate; the mean loss in nats of each epoch."""
-        self.start_from(texts)
+    def train(self, texts: Sequence[np.ndarray], epochs: int = 3, rate: float = 0.02, together: int = 256, seed: int = 9, direct: bool = True) -> list[float]:
+        """Adam with a falling rate; the mean loss in nats of each epoch.
+
+        Without ``direct`` the direct logits stay as they are; else they start from these
+        texts and are trained as well.
+        """
+        if direct:
+            self.start_from(self.transitions(texts))
         inputs, targets, _ = self.lay_out(texts)
         draw = np.random.default_rng(seed)
-        mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        square = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        adam = Adam(self, direct)
         steps = epochs * -(-len(inputs) // together)
-        step, losses = 0, []
+        losses = []
         for _ in range(epochs):
             order, seen = draw.permutation(len(inputs)), []
             for i in range(0, len(order), together):
                 at = order[i : i + together]
-                step += 1
-                loss, grads = self.gradients(inputs[at], targets[at])
-                seen.append(loss)
-                now = rate * (1 - step / (steps + 1))
-                for k, g in grads.items():
-                    mean[k] += 0.1 * (g - mean[k])
-                    square[k] += 0.01 * (g * g - square[k])
-                    self.weights[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                seen.append(adam.step(inputs[at], targets[at], rate * (1 - (adam.steps + 1) / (steps + 1))))
             losses.append(float(np.mean(seen)))
         return losses
 
 
+class Adam:
+    """Steps of Adam on a model's weights; without ``direct``, its direct logits stay as they are."""
+
+    def __init__(self, model: AttentionModel, direct: bool):
+        self.model, self.direct, self.steps = model, direct, 0
+        names = [k for k in model.weights if direct or k != "direct"]
+        self.mean = {k: np.zeros_like(model.weights[k]) for k in names}
+        self.square = {k: np.zeros_like(model.weights[k]) for k in names}
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray, rate: float) -> float:
+        """The loss before the step."""
+        self.steps += 1
+        loss, grads = self.model.gradients(inputs, targets, self.direct)
+        for k, g in grads.items():
+            mean, square = self.mean[k], self.square[k]
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            self.model.weights[k] -= (rate * (mean / (1 - 0.9**self.steps)) / (np.sqrt(square / (1 - 0.99**self.steps)) + 1e-6)).astype(np.float32)
+        return loss
+
+
 def _scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     """Sums of the rows of ``values`` that belong to each row number."""
     order = np.argsort(at, kind="stable")

@@ -3,30 +3,41 @@
 Word counts cover the whole training part.  Tasks count words before the shuffle.  The
 most frequent words, a fixed number, go to every worker; all other words of a document
 are joined to the counts, so neither the driver nor a worker holds a corpus' vocabulary.
-The attention model's class and id frequencies are those of all training words; its
-weights are trained on a bounded sample of training documents.
+The attention model's class and id frequencies, and how classes follow ids, are those of
+all training documents.  Its attention weights begin on a sample at the driver; then
+every task trains them on all of its training documents, and their mean is taken.
 """
 
 from __future__ import annotations
 
+import copy
+import math
 import os
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .attention import AttentionModel
+from .attention import Adam, AttentionModel
 from .common import LOWER, UPPER, cut, document_remainder
 from .subwords import WordCache, word_cache
 
 #: Words whose counts every worker has.
 FREQUENT_WORDS = 200_000
-#: Documents, about, on which the weights are trained; and the subword ids of them at most.
+#: Documents, about, on which the weights begin, and the subword ids of them at most; all others follow in the tasks.
 SAMPLE_DOCUMENTS, SAMPLE_IDS = 800, 400_000
+#: The tasks' rate of training, and the subword ids that they lay out together for it.
+RATE, TRAINED_TOGETHER = 0.005, 50_000
+#: Windows of a step of training.
+TRAINED_WINDOWS = 256
+#: Parts of the weights that are averaged apart.
+WEIGHT_PARTS = 64
 SMOOTHING = 0.1
 HELD_OUT = 10
 #: Texts that are scored together, in subword ids.
@@ -123,14 +134,95 @@ def id_counts(counts: DataFrame, vocabulary: str, size: int, end_id: int) -> np.
     return out
 
 
+def _batched(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, together: int) -> Iterator[list[np.ndarray]]:
+    """The ids of all texts, so many texts at once that they have ``together`` ids."""
+    cache = _id_cache(vocabulary)
+    texts, held = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            texts.append(text_ids(text.as_py(), cache, end_id))
+            held += len(texts[-1])
+            if held >= together:
+                yield texts
+                texts, held = [], 0
+    if texts:
+        yield texts
+
+
+def transition_counts(texts: DataFrame, model: AttentionModel, vocabulary: str) -> np.ndarray:
+    """How often each class follows each input in all ``texts``."""
+    shape = model.weights["direct"].shape
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros(shape, np.int64)
+        for held in _batched(batches, vocabulary, own.end_id, TOGETHER):
+            total += own.transitions(held)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total.reshape(-1)[some], pa.int64())], schema=schema)
+
+    rows = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(shape, np.int64)
+    out.reshape(-1)[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def train_in_tasks(texts: DataFrame, model: AttentionModel, vocabulary: str) -> None:
+    """Sets the attention weights to the mean, by trained ids, of what each task makes of them with all of its ``texts``."""
+    names = [k for k in model.weights if k != "direct"]
+    schema = pa.schema([("part", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("numbers", pa.binary())])
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("OMP_NUM_THREADS", "1")
+        own = copy.copy(shared.value)
+        own.weights = {k: w.copy() for k, w in own.weights.items()}
+        adam, draw, n = Adam(own, direct=False), np.random.default_rng(9), 0
+        for held in _batched(batches, vocabulary, own.end_id, TRAINED_TOGETHER):
+            inputs, targets, _ = own.lay_out(held)
+            order = draw.permutation(len(inputs))
+            for i in range(0, len(order), TRAINED_WINDOWS):
+                at = order[i : i + TRAINED_WINDOWS]
+                adam.step(inputs[at], targets[at], RATE / math.sqrt(1 + adam.steps / 50))
+            n += sum(map(len, held))
+        if n:
+            parts = np.array_split(np.concatenate([own.weights[k].reshape(-1) for k in names]), WEIGHT_PARTS)
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int32()), pa.array([task] * WEIGHT_PARTS, pa.int32()), pa.array([n] * WEIGHT_PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("task")
+        numbers = sum(n * np.frombuffer(x, np.float32).astype(np.float64) for n, x in zip(rows["n"], rows["numbers"], strict=True)) / rows["n"].sum()
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "numbers": [numbers.astype(np.float32).tobytes()]})
+
+    made = texts.mapInArrow(train, "part int, task int, n long, numbers binary").groupBy("part").applyInPandas(mean, "part int, numbers binary").collect()
+    if made:
+        flat, at = np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in sorted(made, key=lambda r: r["part"])]), 0
+        for k in names:
+            w = model.weights[k]
+            model.weights[k] = flat[at : at + w.size].reshape(w.shape).copy()
+            at += w.size
+
+
 def learn(docs: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCUMENTS, epochs: int = 2) -> AttentionModel:
-    """The attention model: frequencies from ``counts``, weights from about ``sample`` of the training ``docs``."""
+    """The attention model: frequencies from ``counts``, transitions and weights from all training ``docs``.
+
+    About ``sample`` documents only give the tasks one common beginning.  The means depend
+    on how the rows are dealt to tasks, as sums of rounded numbers do, but more.
+    """
     words = word_cache(vocabulary)
     end_id = words.tokenizer.token_to_id("<|endoftext|>")
     model = AttentionModel(id_counts(counts, vocabulary, words.tokenizer.get_vocab_size(), end_id))
     model.end_id = end_id
+    everything = docs.select(F.col("text").cast("string").alias("text"))
+    table = transition_counts(everything, model, vocabulary)
+    if not table.any():
+        return model
+    model.start_from(table)
     share = min(1.0, sample / max(1, docs.count()))
-    chosen = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = everything.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
     texts, held = [], 0
     for row in chosen.distinct().orderBy(F.xxhash64("text")).limit(2 * sample).toLocalIterator():
         texts.append(text_ids(row["text"], _id_cache(vocabulary), end_id))
@@ -138,7 +230,8 @@ def learn(docs: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAM
         if held >= SAMPLE_IDS:
             break
     if texts:
-        model.train(texts, epochs)
+        model.train(texts, epochs, direct=False)
+    train_in_tasks(everything, model, vocabulary)
     return model
 
 

@@ -111,3 +111,17 @@ def test_training_beats_counts():
     model = AttentionModel(np.bincount(np.concatenate(texts), minlength=8))
     losses = model.train(texts[:50], epochs=30, rate=0.05, together=16)
     assert losses[-1] < losses[0] - 0.2
+
+
+def test_all_training_texts_give_transitions_and_weights(spark):
+    rows = [(f"a{i % 7} b{i % 5} " * (1 + i % 40),) for i in range(60)] + [("cat dog " * 3000,), (None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    counts = scoring.word_counts(docs)
+    model = scoring.learn(docs, counts, VOCABULARY, sample=1)
+    texts = [scoring.text_ids(r[0], scoring._id_cache(VOCABULARY), model.end_id) for r in rows]
+    again = AttentionModel(scoring.id_counts(counts, VOCABULARY, len(model.class_of), model.end_id))
+    again.start_from(again.transitions(texts))
+    assert again.transitions(texts).sum() == sum(map(len, texts))
+    assert np.allclose(model.weights["direct"], again.weights["direct"], atol=1e-5)
+    assert (model.weights["value"] != again.weights["value"]).any(axis=1)[np.unique(again.lay_out(texts)[0])].all()
+    assert model.scores(texts).sum() > again.scores(texts).sum()
