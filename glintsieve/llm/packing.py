@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -113,12 +113,12 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return plan, made
 
 
-def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, form: Callable[[bytes], bytes] = bytes) -> DataFrame:
     """One row (doc_id, piece, start, length, ids_crc32[, ids]) for each piece of each document.
 
     A document is its text's ids and then ``END_ID``; only one longer than ``capacity``
     is cut.  Null and empty texts are the end id alone.  Ids stay little-endian
-    unsigned 32-bit numbers.
+    unsigned 32-bit numbers, or what ``form`` makes of these.
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -138,7 +138,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
                     ids = cache.packed(text.as_py()) + end
                     for piece, at in enumerate(range(0, len(ids), width)):
                         part = ids[at : at + width]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), form(part) if with_ids else None)[: len(fields)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
         finally:
             cache.clear()

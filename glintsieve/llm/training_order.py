@@ -9,19 +9,23 @@ blob of sequences at a fixed stride, so a reader that stopped at a slot goes on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import partitions, shared_folder
 from .packing import CAPACITY, END_ID, tokenised_pieces
 
 KEY, ROUNDS = 20240501, 6
 #: Sequences of a shard.
 SHARD = 64
+#: Shards of a row group: blobs are mostly padding where texts are short, and a reader holds a group at once.
+ROW_GROUP = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,7 +55,10 @@ def ordered_sequences(pieces: DataFrame, key: int = KEY, shard: int = SHARD) ->
     have slots of their own.  Without rows the result is empty.
     """
     chunks = 4 * partitions(pieces.sparkSession)
-    kept = cut(pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int")))
+    chunked = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
+    folder = f"{shared_folder(pieces.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    chunked.write.parquet(folder)
+    kept = pieces.sparkSession.read.schema(chunked.schema).parquet(folder)
     sizes = sorted((r["_chunk"], r["n"]) for r in kept.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")).collect())
     before = np.zeros(chunks, np.int64)
     total = 0
@@ -69,28 +76,78 @@ def ordered_sequences(pieces: DataFrame, key: int = KEY, shard: int = SHARD) ->
 
 
 def order_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: int = KEY) -> DataFrame:
-    """Documents' pieces of ``capacity`` ids at most, with their slots; as ``tokenised_pieces`` cuts them.
+    """Documents' pieces of ``capacity`` ids at most, with their slots, as the written shards hold them.
 
+    The ids are written as shards to the shared folder; the rows are read from these.
     Null and empty texts are an end id alone; very long texts are many pieces; a null
     doc_id and repeated rows have pieces and slots as any other.
     """
-    return ordered_sequences(tokenised_pieces(docs, vocabulary, capacity), key)
+    ordered = ordered_sequences(tokenised_pieces(docs, vocabulary, capacity, with_ids=True, form=small), key)
+    return written_sequences(write_shards(shards(ordered, capacity, whole)), capacity)
 
 
-def shards(ordered: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(shard, blob) from ordered pieces with ids: sequences in order, each padded with the end id to ``capacity`` ids.
+def small(ids: bytes) -> bytes:
+    """Ids in less room on their way to a shard: first bytes of all, second bytes and so on, compressed."""
+    return pa.Codec("zstd", compression_level=1).compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
 
-    Written by ranges of shards, the files are in training order.
+
+def whole(ids: bytes, length: int) -> bytes:
+    """``length`` ids, as they were before ``small``."""
+    return np.frombuffer(pa.Codec("zstd").decompress(ids, 4 * length, asbytes=True), np.uint8).reshape(4, -1).T.tobytes()
+
+
+def shards(ordered: DataFrame, capacity: int = CAPACITY, ids_of: Callable[[bytes, int], bytes] = lambda ids, length: ids) -> DataFrame:
+    """(shard, blob, sequences) from ordered pieces with ids: sequences in order, each padded with the end id to ``capacity`` ids.
+
+    ``ids_of`` gives a piece's ids from its column ids and its length.  ``sequences`` has doc_id, piece, start and length of each, so padding can be told from
+    ids.  Partitions are ranges of shards: written, the files are in training order.
     """
     stride = 4 * capacity
     end = END_ID.to_bytes(4, "little")
+    names = ("doc_id", "piece", "start", "length")
+    sequence = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("sequences", pa.list_(sequence))])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blob, rows = None, [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([now], [b"".join(blob)], [rows]), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("shard", "ids", *names)]
+            for shard, ids, *row in zip(*columns, strict=True):
+                if shard != now:
+                    if rows:
+                        yield made()
+                    now, blob, rows = shard, [], []
+                ids = ids_of(ids, row[-1])
+                blob.append(ids + end * ((stride - len(ids)) // 4))
+                rows.append(dict(zip(names, row, strict=True)))
+        if rows:
+            yield made()
+
+    dealt = ordered.select("shard", "place", "ids", *names).repartitionByRange(partitions(ordered.sparkSession), "shard").sortWithinPartitions("shard", "place")
+    return dealt.mapInArrow(lay, "shard long, blob binary, sequences array<struct<doc_id: long, piece: int, start: long, length: long>>")
+
+
+def write_shards(made: DataFrame) -> DataFrame:
+    """Writes shards to a new folder of the shared ones, and reads them from there."""
+    folder = f"{shared_folder(made.sparkSession)}/shards-{uuid.uuid4().hex}"
+    made.write.option("parquet.block.row.count.limit", ROW_GROUP).option("compression", "zstd").parquet(folder)
+    return made.sparkSession.read.schema(made.schema).parquet(folder)
+
+
+def written_sequences(written: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, slot, shard, place, byte_offset) of each sequence; the checksum is of the ids in the blob."""
+    stride = 4 * capacity
 
-    def lay(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = [bytes(x).ljust(stride, b"\0") if END_ID == 0 else bytes(x) + end * ((stride - len(x)) // 4) for x in rows.sort_values("place")["ids"]]
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "blob": [b"".join(ids)]})
+    def row(s: Column, at: Column) -> Column:
+        ids = F.substring(F.col("blob"), at * stride + 1, (s["length"] * 4).cast("int"))
+        slot = F.col("shard") * shard + at
+        return F.struct(s["doc_id"].alias("doc_id"), s["piece"].alias("piece"), s["start"].alias("start"), s["length"].alias("length"), F.crc32(ids).alias("ids_crc32"), slot.alias("slot"), F.col("shard").alias("shard"), at.alias("place"), (at * stride).cast("long").alias("byte_offset"))
 
-    made = ordered.select("shard", "place", "ids").groupBy("shard").applyInPandas(lay, "shard long, blob binary")
-    return made.repartitionByRange(partitions(ordered.sparkSession), "shard").sortWithinPartitions("shard")
+    return written.select(F.inline(F.transform("sequences", row)))
 
 
 def read_from(written: DataFrame, slot: int, capacity: int = CAPACITY, shard: int = SHARD) -> Iterator[np.ndarray]:

@@ -1,6 +1,10 @@
+import zlib
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from glintsieve.llm import queries
 from glintsieve.llm import training_order as order
 from glintsieve.llm.common import VOCABULARY
 from glintsieve.llm.packing import tokenised_pieces
@@ -44,3 +48,22 @@ def test_whole_table(spark, small):
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     want = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in tokenised_pieces(docs, VOCABULARY).collect()}
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want
+
+
+def test_the_query_reads_its_rows_from_written_shards(spark, small, monkeypatch):
+    written = []
+    write = order.write_shards
+    monkeypatch.setattr(order, "write_shards", lambda made: written.append(write(made)) or written[0])
+    rows = sorted(queries.op8_training_order(spark, small).collect(), key=lambda r: r.slot)
+    files = [f.removeprefix("file://") for f in written[0].inputFiles()]
+    assert files
+    assert all(pq.ParquetFile(f).metadata.row_group(0).num_rows <= order.ROW_GROUP for f in files)
+    blobs = {r.shard: bytes(r.blob) for r in written[0].collect()}
+    assert set(map(len, blobs.values())) <= {4 * order.CAPACITY * n for n in range(1, order.SHARD + 1)}
+    for r in rows:
+        ids = blobs[r.shard][r.byte_offset : r.byte_offset + 4 * r.length]
+        assert (r.shard, r.place) == divmod(r.slot, order.SHARD) and zlib.crc32(ids) == r.ids_crc32
+        assert not any(blobs[r.shard][r.byte_offset + 4 * r.length : r.byte_offset + 4 * order.CAPACITY])
+    for slot in (0, len(rows) // 2):
+        for r, ids in zip(rows[slot:], order.read_from(written[0], slot), strict=True):
+            assert zlib.crc32(ids[: r.length].tobytes()) == r.ids_crc32
