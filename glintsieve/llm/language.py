@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import give_back
 
 UNDETERMINED = "und"
-#: Labelled documents of each language, about, from which the model is learnt.
+#: Distinct labelled texts of each language from which the model is learnt.
 SAMPLE_PER_LANGUAGE = 600
 #: Words of each language in the model, the most frequent ones.
 WORDS_PER_LANGUAGE = 50_000
@@ -107,19 +107,28 @@ class LanguageModel:
         return self.languages[int(total.argmax())], float(1 / share.sum())
 
 
+def _by_language(values: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for lang, n in values.items() for x in (lang, F.lit(n).cast("long"))])[F.col("lang")]
+
+
 def learn(docs: DataFrame, usable: Column, per_language: int = SAMPLE_PER_LANGUAGE, words: int = WORDS_PER_LANGUAGE) -> LanguageModel:
-    """A model from the text and lang of the rows where ``usable``, at most about ``per_language`` of each language.
+    """A model from the text and lang of the rows where ``usable``: ``per_language`` distinct texts of each language, or all if fewer.
 
-    The sample is by a hash of text and lang alone, so it is the same on every run, and
-    it is what bounds the words that come to the driver.
+    The texts with the least hashes are taken, so the sample is the same on every run
+    whatever copies there are, and it is what bounds the words that come to the driver.
     """
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("hash"))
+    hashes = labelled.select("lang", "hash").distinct()
+    sizes = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return LanguageModel({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
-    # Copies have one hash and are taken or left together; taken, they add their words once.
-    sampled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).distinct()
+    # About twice as many as needed, of which the least are taken.
+    near = _by_language({lang: min(2**63 - 1, int(2**64 * min(1.0, (2 * per_language + 100) / n)) - 2**63) for lang, n in sizes.items()})
+    least: dict[str, list[int]] = {}
+    for row in hashes.where(F.col("hash") <= near).collect():
+        least.setdefault(row["lang"], []).append(row["hash"])
+    last = _by_language({lang: sorted(found)[:per_language][-1] for lang, found in least.items()})
+    sampled = labelled.where(F.col("hash") <= last).select("lang", "text").distinct()
     split = sampled.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''")
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
     for row in split.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():

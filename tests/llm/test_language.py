@@ -53,3 +53,11 @@ def test_held_out_accuracy(spark, small):
     assert len(got) == docs.count()
     held = [r for r in got if r.held_out and r.lang]
     assert held and sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
+
+
+def test_copies_take_no_places_in_the_sample(spark):
+    texts = [("es", f"gato{chr(97 + i)} come") for i in range(20)] * 200 + [("de", f"hund{chr(97 + i % 26)}{chr(97 + i // 26)} isst") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True), per_language=50)
+    assert model.languages == ["de", "es"]
+    assert sum(w.startswith("gato") for w in model.words.at) == 20 and sum(w.startswith("hund") for w in model.words.at) == 50
