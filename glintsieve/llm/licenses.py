@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 #: Up to so many known digests are broadcast; beyond, both sides are shuffled.
 BROADCAST_DIGESTS = 200_000
 
-# Lines that name holders of rights, and spellings that mean the same.
-COPYRIGHT_LINE = r"(?im)^[^\n\p{L}]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Lines that name holders of rights, which a sign, a year, a blank to fill in or a capital tells from
+# wrapped lines that begin with the word; and spellings that mean the same.
+COPYRIGHT_LINE = (
+    r"(?im)^[^\n\p{L}]*(©|all rights reserved|\(c\)[^\n]*(19|20)\d\d|copyright[^\n\p{L}]*(©|\(c\)|[<\[{])|copyright[^\n]*(19|20)\d\d"
+    r"|(?-i:Copyright)[ \t]+(by[ \t]+)?(?!holder|notice|owner|licen|law|act\b|statement|interest)(?-i:\p{Lu}))[^\n]*$"
+)
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("authoris", "authoriz"),
     ("favour", "favor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("http://", "https://"), ("&", " and "),

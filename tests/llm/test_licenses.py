@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -23,3 +24,17 @@ def test_canonical_texts_match(spark):
 def test_digest_is_of_the_canonical_form(spark):
     row = spark.range(1).select(licenses.canonical(F.lit("A  Licence & B!\n© X\nÉnd")).alias("c"), licenses.digest(F.lit("A  Licence & B!\n© X\nÉnd")).alias("d")).first()
     assert row.c == "a license and b énd" and row.d == hashlib.sha256(row.c.encode()).hexdigest()
+
+
+def test_wrapped_texts_match(spark):
+    texts = []
+    for width in range(40, 100):
+        texts += [(name, "\n\n".join(textwrap.fill(p, width) for p in f"Copyright (c) 2020, Some One\n\n{text}".split("\n\n"))) for name, text in licenses.KNOWN]
+    # As it is published.
+    isc = "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium\nCopyright Some One\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+    texts.append(("ISC", isc + textwrap.fill(licenses.KNOWN[3][1].split("\n\n")[1], 72)))
+    assert any(line.startswith("copyright notice") for _, t in texts for line in t.split("\n")) and any(line.startswith("COPYRIGHT HOLDERS") for _, t in texts for line in t.split("\n"))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame(licenses.KNOWN, "license_id string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, known).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
