@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from glintsieve.llm import decontaminate, jaccard, language, packing, secrets
 from glintsieve.llm.common import VOCABULARY, cut, shared_folder, table, unused
 
-#: Documents whose language has a smaller share than this among all are rejected: no language stands out at all.
-LEAST_LANGUAGE_SHARE = 0.3
 #: Near duplicates: words of a shingle, and the least Jaccard in hundredths.
 SHINGLE_WORDS, LEAST_JACCARD = 5, 80
 #: Up to so many ids are broadcast; beyond, both sides are shuffled.
@@ -23,11 +21,10 @@ BROADCAST_IDS = 500_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or no language that stands out."""
+    """Drops documents without a language: no letters, or too few words that their likeliest language knows."""
     own = unused(docs, "language")
     judged = language.identify(docs, language.learn(docs, F.lit(True)), own)
-    known = (F.col(own)["lang_pred"] != language.UNDETERMINED) & (F.col(own)["score"] >= LEAST_LANGUAGE_SHARE)
-    return judged.where(known).select(*docs.columns)
+    return judged.where(F.col(own)["fits"]).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,15 @@ def test_copies_take_no_places_in_the_sample(spark):
     model = language.learn(docs, F.lit(True), per_language=50)
     assert model.languages == ["de", "es"]
     assert sum(w.startswith("gato") for w in model.words.at) == 20 and sum(w.startswith("hund") for w in model.words.at) == 50
+
+
+def test_texts_of_no_learnt_language_do_not_fit(spark):
+    stems = {"es": ("gato", "come", "casa", "perro", "mesa"), "de": ("hund", "isst", "haus", "katze", "tisch")}
+    rows = [(lang, " ".join(words[(i + j * j) % 5] for j in range(5 + i))) for lang, words in stems.items() for i in range(20)]
+    foreign = ["яблоко лежит на столе " * n for n in (1, 10, 300)] + ["qxv zzkj wqpt " * n for n in (1, 10, 300)]
+    docs = spark.createDataFrame([*rows, *((None, t) for t in foreign)], "lang string, text string")
+    for usable in (F.lit(True), F.col("lang") == "es"):
+        got = language.identify(docs, language.learn(docs, usable)).collect()
+        assert not any(r.language.fits for r in got if r.lang is None)
+        assert all(r.language.fits for r in got if r.lang == "es")
+    assert language.grams_of("ab", 1) == ["a", "b"]
