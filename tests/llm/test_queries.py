@@ -48,3 +48,12 @@ def test_pipeline_stages_with_odd_rows(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, small)
     assert empty.collect() == []
+
+
+def test_kept_documents_hold_no_test_passages(spark, tmp_path):
+    item = " ".join(f"item{chr(97 + i)}" for i in range(13))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    around = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    docs = spark.createDataFrame([(1, f"{around}. {item}, tail", 7), (2, item, 7), (3, around, 7), (4, None, None)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: (f"{around}. , tail", len(around) + 8), 3: (around, 7), 4: (None, None)}
