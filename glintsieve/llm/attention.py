@@ -23,6 +23,8 @@ STRIDE = 16
 WINDOW = 2 * STRIDE
 #: Windows that are scored together.
 TOGETHER = 256
+#: Positions whose logits are held at once in training.
+IN_CACHE = 1024
 #: Numbers up to this have an exponential of which many still add up to a 32-bit float.
 LARGEST = 70.0
 LN10 = float(np.log(10))
@@ -82,11 +84,6 @@ class AttentionModel:
         scores /= scores.sum(axis=2, keepdims=True)
         return query, key, value, scores, scores @ value
 
-    def _logits(self, inputs: np.ndarray, context: np.ndarray) -> np.ndarray:
-        logits = context.reshape(-1, WIDTH) @ self.weights["out"]
-        logits += self.weights["direct"][inputs[:, STRIDE:].reshape(-1)]
-        return logits
-
     def fits(self) -> bool:
         """Whether no score or logit can be so large that its exponential overflows; then none needs its maximum taken off."""
         w = self.weights
@@ -141,25 +138,47 @@ class AttentionModel:
         """The mean loss in nats, and its gradients; without ``direct``, those of the other weights."""
         w = self.weights
         query, key, value, share, context = self._attend(inputs)
-        logits = self._logits(inputs, context)
+        now, every = inputs[:, STRIDE:].reshape(-1), inputs.reshape(-1)
         goal = targets.reshape(-1)
-        real = goal >= 0
-        rows, classes = np.flatnonzero(real), self.class_of[goal[real]]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        loss = float((np.log(total[rows]) - logits[rows, classes]).mean())
-        p /= total[:, None]
-        p[rows, classes] -= 1
-        p *= (real / max(1, len(rows)))[:, None].astype(np.float32)
-        d_context = (p @ w["out"].T).reshape(context.shape)
+        rows = np.flatnonzero(goal >= 0)
+        classes = self.class_of[goal[rows]]
+        flat = context.reshape(-1, WIDTH)
+        real = np.zeros(len(goal), flat.dtype)
+        real[rows] = 1 / max(1, len(rows))
+        d_flat, d_out = np.empty_like(flat), np.zeros_like(w["out"])
+        d_direct = np.zeros((len(now), self.classes), flat.dtype) if direct else None
+        total, picked = np.empty_like(real), np.empty_like(real)
+        at_class = np.zeros(len(goal), np.int64)
+        at_class[rows] = classes
+        ones = np.ones(self.classes, flat.dtype)
+        # So many rows at a time that their logits stay in the processor's cache; the shares are never divided out.
+        for i in range(0, len(goal), IN_CACHE):
+            part = slice(i, i + IN_CACHE)
+            logits = flat[part] @ w["out"]
+            logits += w["direct"].take(now[part], axis=0)
+            logits -= logits.max(axis=1, keepdims=True)
+            picked[part] = logits[np.arange(len(logits)), at_class[part]]
+            np.exp(logits, out=logits)
+            total[part] = logits @ ones
+            scale = (real[part] / total[part])[:, None]
+            d_flat[part] = (logits @ w["out"].T) * scale
+            d_out += (flat[part] * scale).T @ logits
+            if direct:
+                np.multiply(logits, scale, out=d_direct[part])
+        loss = float((np.log(total[rows]) - picked[rows]).mean()) if len(rows) else 0.0
+        d_flat -= w["out"].T.take(at_class, axis=0) * real[:, None]
+        d_out -= _scattered(at_class, flat * real[:, None], self.classes).T
+        d_context = d_flat.reshape(context.shape)
         d_share = d_context @ value.transpose(0, 2, 1)
-        d_scores = share * (d_share - (d_share * share).sum(axis=2, keepdims=True))
-        last, every = inputs[:, STRIDE:].reshape(-1), inputs.reshape(-1)
-        out = {"out": context.reshape(-1, WIDTH).T @ p, "bias": d_scores.sum(axis=0)}
-        parts = [("query", last, d_scores @ key), ("key", every, d_scores.transpose(0, 2, 1) @ query), ("value", every, share.transpose(0, 2, 1) @ d_context)]
-        for name, at, d in parts + [("direct", last, p)] * direct:
-            out[name] = _scattered(at, d.reshape(len(at), -1), len(w[name]))
+        d_share -= (d_context * context).sum(axis=2, keepdims=True)
+        d_share *= share
+        d_value = share.transpose(0, 2, 1) @ d_context
+        d_key = d_share.transpose(0, 2, 1) @ query
+        both = _scattered(every, np.concatenate((d_key, d_value), axis=2).reshape(len(every), -1), len(w["key"]))
+        out = {"out": d_out, "bias": d_share.sum(axis=0), "key": both[:, :WIDTH], "value": both[:, WIDTH:], "query": _scattered(now, (d_share @ key).reshape(len(now), -1), len(w["query"]))}
+        if direct:
+            d_direct[rows, classes] -= real[rows]
+            out["direct"] = _scattered(now, d_direct, len(w["direct"]))
         return loss, out
 
     def train(self, texts: Sequence[np.ndarray], epochs: int = 3, rate: float = 0.02, together: int = 256, seed: int = 9, direct: bool = True) -> list[float]:
@@ -199,16 +218,20 @@ class Adam:
         loss, grads = self.model.gradients(inputs, targets, self.direct)
         for k, g in grads.items():
             mean, square = self.mean[k], self.square[k]
-            mean += 0.1 * (g - mean)
-            square += 0.01 * (g * g - square)
-            self.model.weights[k] -= (rate * (mean / (1 - 0.9**self.steps)) / (np.sqrt(square / (1 - 0.99**self.steps)) + 1e-6)).astype(np.float32)
+            mean += np.float32(0.1) * (g - mean)
+            square += np.float32(0.01) * (g * g - square)
+            down = np.sqrt(square / np.float32(1 - 0.99**self.steps))
+            down += np.float32(1e-6)
+            self.model.weights[k] -= mean * np.float32(rate / (1 - 0.9**self.steps)) / down
         return loss
 
 
 def _scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     """Sums of the rows of ``values`` that belong to each row number."""
-    order = np.argsort(at, kind="stable")
-    named, first = np.unique(at[order], return_index=True)
-    out = np.zeros((rows, values.shape[1]), np.float32)
-    out[named] = np.add.reduceat(values[order], first, axis=0)
+    small = at.astype(np.int16) if rows <= 2**15 else at  # short numbers are sorted by radix
+    order = np.argsort(small, kind="stable")
+    sorted_ = small[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    out[sorted_[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
     return out

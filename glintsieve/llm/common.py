@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
+import uuid
 
 import public_tokenizers
 import pyarrow as pa
@@ -49,16 +49,33 @@ def partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that has none, as in local tests, gets a temporary one.
+    A session on one machine may do without; it gets a folder in its warehouse.  On a
+    cluster the setting must be there.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glintsieve-"))
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    context.setCheckpointDir(given)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder among the shared ones."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more, wherever it is stored."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it from there ever after."""
     shared_folder(df.sparkSession)

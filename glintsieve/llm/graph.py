@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
+
+#: A key is hot from so small a part of a partition's even share of the rows on.
+HOT_SHARE = 4
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
+    """``rows`` inner-joined to ``facts``, which has each key once with the number of its rows in ``count``.
+
+    Keys with more rows than a small part of a partition's share go by a broadcast:
+    their facts are fewer than ``HOT_SHARE`` for each partition, whatever the input.  So
+    no task gets all rows of a hot key.  Null keys join nothing.
+    """
+    least = max(1, total // (HOT_SHARE * partitions(rows.sparkSession)))
+    hot = F.broadcast(facts.where(F.col(count) > least).drop(count))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").where(" and ".join(f"{k} is not null" for k in keys))
+    return rows.join(hot, keys).unionByName(rest.join(facts.where(F.col(count) <= least).drop(count), keys))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round first links each node's larger neighbours to its least neighbour, and
     then its smaller ones, until nothing changes; that takes a number of rounds
-    logarithmic in the longest path.  Minima are pre-aggregated and a hub's edges are
-    joined to one row, so a hub with very many edges is never gathered in one task.
+    logarithmic in the longest path.  Minima are pre-aggregated.  A hub's edges are
+    joined to one row, and adaptive execution splits that join where they are very many.
     Null ends and loops are dropped; a node without another is not in the result.
     """
     now = cut(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -26,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = larger.groupBy("a").agg(F.min("b").alias("m"))
         smaller = larger.join(least, "a")
         smaller = smaller.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(smaller.where("a != b").distinct())
+        now = cut(smaller.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         state, last = _state(now), state
         if state == last:
             break

@@ -17,24 +17,26 @@ Signature trees.  Each family, in blocks of ``BLOCK`` sets, is made into trees:
 has the OR of the token bitmaps below it and the range of sizes.  Two trees are
 traversed together; a pair of nodes is left out if sizes or the largest possible
 overlap rule out a link, or if all sets below both are linked already.  At the leaves
-the overlaps are counted exactly.  Families of several blocks compare every two blocks,
-each pair as a task of its own.  The links' components are the result.
+the overlaps are counted exactly.  Families of several blocks are linked within random
+blocks, round by round, one set of each component going on; then only blocks of different
+components are compared, each two as a task of its own.  The links' components are the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, give_back, partitions
-from .graph import components
+from .common import LOWER, UPPER, cut, give_back, partitions, unused
+from .graph import components, join_hot
 
 #: Sets in a block of a family.
 BLOCK = 128
@@ -175,8 +177,8 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], edges[:, 0], edges[:, 1]
 
 
-_ROUTED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
-_ROUTED_KINDS = "bucket int, doc_id long, n_shingles long, h1 long, h2 long, a long, b long, blob binary"
+_ROUTED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("th", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
+_ROUTED_KINDS = "bucket int, doc_id long, n_shingles long, th long, h1 long, h2 long, a long, b long, blob binary"
 
 
 def _rows(schema: pa.Schema, **columns: Sequence) -> pa.RecordBatch:
@@ -185,7 +187,7 @@ def _rows(schema: pa.Schema, **columns: Sequence) -> pa.RecordBatch:
 
 
 def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """One row for each document (doc_id, n_shingles, h1, h2) and one for each edge (a, b) between set digests."""
+    """One row for each document (doc_id, n_shingles, text's hash th, h1, h2) and one for each edge (a, b) between set digests."""
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
@@ -215,7 +217,7 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 seen.add((one, two))
                 keys.append(routing_keys(shingles, num, den, frequent.value))
                 nodes.append(np.full(len(keys[-1]), one, np.int64))
-        yield _rows(_ROUTED, bucket=[(turn * 7919 + i) % buckets for i in range(len(ids))], doc_id=ids, n_shingles=sizes, h1=ones, h2=twos)
+        yield _rows(_ROUTED, bucket=[(turn * 7919 + i) % buckets for i in range(len(ids))], doc_id=ids, n_shingles=sizes, th=batch.column(2).to_pylist(), h1=ones, h2=twos)
         if not keys:
             return
         key, node, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
@@ -240,12 +242,12 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 held.clear()
 
         for batch in batches:
-            blobs = batch.column(7).is_valid()
+            blobs = batch.column("blob").is_valid()
             other = batch.filter(pa.compute.invert(blobs))
             if other.num_rows:
                 yield other
             mine = batch.filter(blobs)
-            for bucket, blob in zip(mine.column(0).to_pylist(), mine.column(7).to_pylist(), strict=True):
+            for bucket, blob in zip(mine.column(0).to_pylist(), mine.column("blob").to_pylist(), strict=True):
                 if bucket != at:
                     yield from flush()
                     at = bucket
@@ -253,9 +255,9 @@ def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         yield from flush()
         give_back()
 
-    routed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(emit, _ROUTED_KINDS)
+    routed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th")).mapInArrow(emit, _ROUTED_KINDS)
     dealt = routed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return cut(dealt.mapInArrow(meet, _ROUTED_KINDS).select("doc_id", "n_shingles", "h1", "h2", "a", "b"))
+    return cut(dealt.mapInArrow(meet, _ROUTED_KINDS).select("doc_id", "n_shingles", "th", "h1", "h2", "a", "b"))
 
 
 class SignatureTree:
@@ -298,10 +300,11 @@ class SignatureTree:
         return overlap * (num + den) >= num * int(low + low2)
 
 
-def tree_links(sets: Sequence[np.ndarray], sides: Sequence[int], num: int, den: int) -> list[int]:
+def tree_links(sets: Sequence[np.ndarray], sides: Sequence[int], num: int, den: int, known: Sequence[int] | None = None) -> list[int]:
     """For each set the first one of its component, by links within one side or, of two, across them.
 
-    With one side all pairs are compared; with two, those across only.
+    With one side all pairs are compared; with two, those across only.  Sets with equal
+    ``known`` numbers are in one component already.
     """
     label = list(range(len(sets)))
     groups = {i: [i] for i in label}
@@ -314,6 +317,9 @@ def tree_links(sets: Sequence[np.ndarray], sides: Sequence[int], num: int, den:
                 label[k] = large
             groups[large] += groups.pop(small)
 
+    met: dict[int, int] = {}
+    for i, k in enumerate(known or ()):
+        join(i, met.setdefault(k, i))
     bits = 64
     while bits < 8 * max(map(len, sets)):
         bits *= 2
@@ -375,48 +381,204 @@ def _overlaps(sets: Sequence[np.ndarray]):
     return counted
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+class Classes(NamedTuple):
+    """Rows by their set, and what links reach."""
 
-    Two documents link when the Jaccard of their shingle sets is num/den or more;
-    component_id is the least doc_id that links reach, the own one included.  A text of
-    fewer words than a shingle is one shingle.  A null or empty text, or one of white
-    space only, has an empty set and links with nothing.  Rows are judged by their own
-    texts; rows that share a doc_id are linked through it.  A row with a null doc_id
-    has the component of its copies, or null.  Other columns are ignored.
+    #: (doc_id, n_shingles, h1, h2) of each row; h1 and h2 are null for an empty set.
+    rows: DataFrame
+    #: (h1, h2, n, node, rep, component) of each set that is not empty: how many rows have it, their least doc_id, and the least node that links reach.
+    classes: DataFrame
+
+
+def linked_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, through_ids: bool = True) -> Classes:
+    """The classes of equal sets of ``docs`` (doc_id, text) and their components by links of num/den or more.
+
+    With ``through_ids``, classes that share a doc_id are linked as well.
     """
-    spark = docs.sparkSession
     routed = _route(docs, words, num, den)
     own = routed.where("n_shingles is not null").select("doc_id", "n_shingles", "h1", "h2")
-    classes = cut(own.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    named = routed.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    # Numbers of written rows don't change any more.
+    classes = cut(named.select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), F.monotonically_increasing_id().alias("node")))
+    total = classes.count()
     families = components(routed.where("a is not null").select("a", "b"))
-    family = classes.where("rep is not null").join(families, classes["h1"] == families["node"]).select("rep", "h1", "h2", F.col("component").alias("family"))
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    family = cut(family.join(sizes, "family").select("rep", "h1", "h2", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("h1", "h2"), blocks).cast("int").alias("block")))
-    asked = F.broadcast(family) if family.count() <= BROADCAST_ROWS else family
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(asked, "rep")
+    family = cut(classes.join(families, classes["h1"] == families["node"]).select(classes["node"], "h1", "h2", "rep", "th", F.col("component").alias("family")))
+    links = _links(docs, _in_families(family, 2, total), words, num, den, total)
+    if through_ids:
+        links = links.unionByName(_through_ids(own, classes))
+    found = components(links)
+    return Classes(own, cut(classes.join(found, "node", "left").select("h1", "h2", "n", "node", "rep", F.coalesce("component", "node").alias("component"))))
+
+
+def _in_families(members: DataFrame, least: int, total: int) -> DataFrame:
+    """``members`` (family, ...) of families with ``least`` members or more, with the number of their blocks."""
+    sizes = cut(members.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    return cut(join_hot(members, sizes.where(F.col("n") >= least).select("family", "n", blocks), ["family"], total))
+
+
+def _through_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that share a doc_id, each with the least of them."""
+    named = own.where("h1 is not null and doc_id is not null")
+    key = F.struct("h1", "h2")
+    several = cut(named.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("doc_id", "n"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    shared = cut(join_hot(named.select("doc_id", "h1", "h2"), several, ["doc_id"], total).distinct().join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node"))
+    least = cut(shared.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")))
+    return join_hot(shared, least, ["doc_id"], total).select(F.col("node").alias("a"), "b").where("a != b")
+
+
+def _links(docs: DataFrame, asked: DataFrame, words: int, num: int, den: int, total: int) -> DataFrame:
+    """(a, b) nodes of ``asked`` (node, h1, h2, rep, th, family, blocks) that links join, enough of them to tell the components.
+
+    In rounds, each family is cut into blocks at random, trees link what is in a block,
+    and of each component so far one set goes on, until rounds help little.  So a family
+    of very many near copies shrinks by a factor a round.  Then all sets of different
+    components meet, block by block; blocks of one component never do.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    wanted = texts.join(few, texts["doc_id"].eqNullSafe(few["rep"]) & (texts["th"] == few["th"])).select("node", "family", "blocks", "h1", "h2", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
+            batch = batch[~batch["node"].isin(seen)].drop_duplicates("node")
             made = [shingle_set(t, words) for t in batch.pop("text")]
             same = [len(s) > 0 and set_digest(s) == (a, b) for s, a, b in zip(made, batch["h1"], batch["h2"], strict=True)]
             batch["shingles"] = [s.tobytes() for s in made]
-            yield batch.loc[same, ["rep", "family", "blocks", "block", "shingles"]]
-
-    placed = texts.mapInPandas(sets, "rep long, family long, blocks int, block int, shingles binary")
-    # Each block meets every block of its family, itself too, in a task of their own.
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("rep", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "shingles")
+            batch = batch.loc[same, ["node", "family", "blocks", "shingles"]]
+            seen.update(batch["node"].tolist())
+            yield batch
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["rep", "shingles"]).sort_values("rep", kind="stable")
-        reps = group["rep"].tolist()
-        firsts = tree_links([np.frombuffer(s, np.uint64) for s in group["shingles"]], group["block"].tolist(), num, den)
-        edges = [(reps[i], reps[f]) for i, f in enumerate(firsts) if i != f]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    linked = components(met.groupBy("family", "low", "high").applyInPandas(link, "a long, b long"))
-    found = classes.join(linked, classes["rep"] == linked["node"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    joined = own.join(found, ["h1", "h2", "n_shingles"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        group = group.drop_duplicates("node").sort_values("node", kind="stable")
+        nodes = group["node"].tolist()
+        firsts = tree_links([np.frombuffer(s, np.uint64) for s in group["shingles"]], group["side"].tolist(), num, den, group["label"].tolist())
+        edges = [(group["family"].iloc[0], nodes[i], nodes[f]) for i, f in enumerate(firsts) if i != f]
+        return pd.DataFrame(edges, columns=["family", "a", "b"], dtype="int64")
+
+    kinds = "family long, a long, b long"
+    block = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
+    placed = wanted.mapInPandas(sets, "node long, family long, blocks int, shingles binary")
+    large = asked.where("blocks > 1").select("node", "family", "blocks")
+    some_large = not large.isEmpty()
+    if some_large:  # their sets are needed again
+        placed = cut(placed)
+    now = placed.select("node", "family", "shingles", block(0).alias("block"), F.lit(0).alias("side"), F.col("node").alias("label"))
+    edges = cut(now.groupBy("family", "block").applyInPandas(link, kinds))
+    if not some_large:
+        return edges.select("a", "b")
+    active, turn = large, 0
+    while True:
+        labels = components(edges.join(large.select("family").distinct(), "family", "left_semi").select("a", "b"))
+        labelled = cut(large.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label")))
+        reached, before = labelled.groupBy("family", "label").agg(F.min("node").alias("node")), active.count()
+        active, turn = _in_families(reached, 2, total), turn + 1
+        if active.count() * 3 > before * 2:
+            break
+        again = active.select("node", "family", "blocks", F.col("node").alias("label"))
+        again = placed.select("node", "shingles").join(again, "node").select("node", "family", "shingles", block(turn).alias("block"), F.lit(0).alias("side"), "label")
+        edges = cut(edges.unionByName(again.groupBy("family", "block").applyInPandas(link, kinds)))
+    met = _unlike_blocks(labelled, active.select("family").distinct())
+    if met is None:
+        return edges.select("a", "b")
+    last = placed.select("node", "shingles").join(met, "node").groupBy("family", "low", "high").applyInPandas(link, kinds)
+    return cut(edges.unionByName(last)).select("a", "b")
+
+
+def _unlike_blocks(labelled: DataFrame, open_: DataFrame) -> DataFrame | None:
+    """(node, family, label, low, high, side) for every two blocks of a family in which sets have different labels; None if there are none.
+
+    A label of ``BLOCK`` sets or more has blocks of its own, which meet those of others;
+    the sets of smaller labels share blocks, and these meet themselves as well.
+    """
+    mine = labelled.join(open_, "family", "left_semi")
+    total = mine.count()
+    if not total:
+        return None
+    counts = cut(mine.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")))
+    small = counts.where(F.col("n") < BLOCK).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
+    own = counts.join(small, "family", "left").select("family", "label", "n", F.when(F.col("n") >= BLOCK, F.col("label")).alias("of"), F.when(F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("mixed")).alias("parts"))
+    by = F.when(F.col("of").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("node"))
+    parted = cut(join_hot(mine, cut(own), ["family", "label"], total).withColumn("part", F.pmod(by, F.col("parts"))))
+    order = Window.partitionBy("family").orderBy("of", "part")
+    blocks = cut(parted.groupBy("family", "of", "part").agg(F.count(F.lit(1)).alias("sets")).withColumn("block", F.row_number().over(order)))
+    mixed, whole = blocks.where("of is null").select("family", F.col("block").alias("one")), blocks.where("of is not null").select("family", "of", "block")
+    pairs = mixed.join(blocks.select("family", "block"), "family").where("one <= block").select("family", F.col("one").alias("low"), F.col("block").alias("high"))  # mixed blocks come first
+    labels = whole.select("family", "of").distinct()
+    two = labels.join(labels.select("family", F.col("of").alias("of2")), "family").where("of < of2")
+    across = two.join(whole.withColumnRenamed("block", "b1"), ["family", "of"]).join(whole.select("family", F.col("of").alias("of2"), F.col("block").alias("b2")), ["family", "of2"])
+    pairs = pairs.unionByName(across.select("family", F.least("b1", "b2").alias("low"), F.greatest("b1", "b2").alias("high")))
+    asked = pairs.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    placed = parted.join(blocks.drop("sets"), [parted["family"] == blocks["family"], parted["of"].eqNullSafe(blocks["of"]), parted["part"] == blocks["part"]]).select("node", parted["family"], "label", "block")
+    return placed.join(asked, ["family", "block"]).select("node", "family", "label", "low", "high", F.col("block").alias("side"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+
+    Two documents link when the Jaccard of their shingle sets is num/den or more;
+    component_id is the least doc_id that links reach, the own one included.  A text of
+    fewer words than a shingle is one shingle.  A null or empty text, or one of white
+    space only, has an empty set and links with nothing.  Rows are judged by their own
+    texts; rows that share a doc_id are linked through it, if their sets are not empty.
+    A row with a null doc_id has the least doc_id of its component, or null.  Other
+    columns are ignored.
+    """
+    linked = linked_classes(docs, words, num, den)
+    least = linked.classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    total = linked.classes.count()
+    named = cut(join_hot(linked.classes, cut(least.withColumnRenamed("sets", "n_sets")), ["component"], total, "n_sets").select("h1", "h2", "n", "component_id"))
+    found = join_hot(linked.rows.where("h1 is not null"), named, ["h1", "h2"], linked.rows.count())
+    alone = linked.rows.where("h1 is null").withColumn("component_id", F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each group of near duplicates, all columns as they were.
+
+    Groups are by links of num/den or more between texts, never by ids alone: rows are
+    dropped, not ids, so unlike texts that share a doc_id all stay.  Of a group the row
+    with the least doc_id stays (a null one comes last), then the one with the least
+    set; equal sets of one doc_id give the row with the least text.  Rows whose text has
+    no words are in no group and stay.
+    """
+    linked = linked_classes(docs, words, num, den, through_ids=False)
+    total = linked.rows.count()
+    named = join_hot(linked.rows.where("h1 is not null"), linked.classes.select("h1", "h2", "n", "component"), ["h1", "h2"], total)
+    sets = cut(named.groupBy("doc_id", "h1", "h2", "component").agg(F.count(F.lit(1)).alias("rows")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = cut(sets.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
+    judged = cut(join_hot(sets, first, ["component"], total).withColumn("stays", order == F.col("first")))
+    # An id none of whose rows stays, or all of them, tells by itself; of others each row's set must be known.
+    ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("some"))
+    gone = cut(ids.where("not some").select(F.col("doc_id").alias("_id")))
+    several = cut(ids.where("some and rows > 1").select(F.col("doc_id").alias("_id")))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    wordless = F.coalesce(F.length(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]", "")) == 0, F.lit(True))
+    kept = docs.join(few(gone.unionByName(several)), same, "left_anti").where(F.col("doc_id").isNotNull() | wordless)
+    odd = docs.where("doc_id is null")
+    if not several.isEmpty():
+        odd = odd.unionByName(docs.join(few(several), same, "left_semi"))
+    # Wordless rows of ids whose other rows go are back, too.
+    kept = kept.unionByName(docs.join(few(gone), same, "left_semi").where(wordless))
+
+    @F.pandas_udf("h1 long, h2 long")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        made = [shingle_set(t, words) for t in texts]
+        names = [set_digest(x) if len(x) else (None, None) for x in made]
+        return pd.DataFrame({"h1": pd.array([a for a, _ in names], "Int64"), "h2": pd.array([b for _, b in names], "Int64")})
+
+    told = unused(docs, "set")
+    odd = odd.withColumn(told, digest(F.col("text").cast("string")))
+    key = [F.col("doc_id").cast("long").alias("k0"), F.col(f"{told}.h1").alias("k1"), F.col(f"{told}.h2").alias("k2")]
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = odd.where(F.col(f"{told}.h1").isNotNull()).groupBy(*key).agg(F.min_by(whole, "text").alias("row"))
+    stay = judged.where("stays").select("doc_id", "h1", "h2")
+    one = one.join(stay, one["k0"].eqNullSafe(stay["doc_id"]) & (one["k1"] == stay["h1"]) & (one["k2"] == stay["h2"]), "left_semi").select("row.*")
+    return kept.unionByName(odd.where(F.col(f"{told}.h1").isNull() & F.col("doc_id").isNotNull()).select(*docs.columns)).unionByName(one)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, partitions
-from .subwords import word_cache
+from .common import cut, give_back, partitions, unused
+from .subwords import WordCache, word_cache
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -113,12 +113,19 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return plan, made
 
 
-def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, form: Callable[[bytes], bytes] = bytes) -> DataFrame:
+def pieces_of(cache: WordCache, text: str | None, capacity: int) -> Iterator[tuple[int, int, bytes]]:
+    """(piece, byte of its start, ids) of a text's ids and the end id, cut at every ``capacity`` ids."""
+    ids, width = cache.packed(text) + END_ID.to_bytes(4, "little"), 4 * capacity
+    for piece, at in enumerate(range(0, len(ids), width)):
+        yield piece, at, ids[at : at + width]
+
+
+def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row (doc_id, piece, start, length, ids_crc32[, ids]) for each piece of each document.
 
     A document is its text's ids and then ``END_ID``; only one longer than ``capacity``
-    is cut.  Null and empty texts are the end id alone.  Ids stay little-endian
-    unsigned 32-bit numbers, or what ``form`` makes of these.
+    is cut.  Null and empty texts are the end id alone.  Ids are little-endian
+    unsigned 32-bit numbers.
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -126,8 +133,6 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
         fields.append(("ids", pa.binary()))
         kinds += ", ids binary"
     schema = pa.schema(fields)
-    width = 4 * capacity
-    end = END_ID.to_bytes(4, "little")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(vocabulary)
@@ -135,10 +140,8 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
             for batch in batches:
                 rows: list[tuple] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = cache.packed(text.as_py()) + end
-                    for piece, at in enumerate(range(0, len(ids), width)):
-                        part = ids[at : at + width]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), form(part) if with_ids else None)[: len(fields)])
+                    for piece, at, part in pieces_of(cache, text.as_py(), capacity):
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)[: len(fields)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
         finally:
             cache.clear()
@@ -150,18 +153,21 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset: few sequences of at most ``capacity`` tokens, each gapless from 0.
 
-    ``pieces`` needs doc_id, piece, start and length (1 to ``capacity``); all its
-    columns stay, and equal rows are packed as rows of their own.  Without rows the
-    result is empty.
+    ``pieces`` needs length (1 to ``capacity``); all its columns stay, whatever their
+    names, but for those named sequence_id or offset, which are replaced.  Every row is
+    packed by itself, equal rows and rows with null ids too.  Without rows the result is
+    empty.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     chunks = 4 * partitions(spark)
-    # A rank among the pieces of a length: the pieces of earlier chunks, and the place in the own chunk. Many
-    # documents can share a length, so the chunks are dealt by document and piece.
-    kept = cut(pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int")))
-    counts = kept.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut(counts.select("length", "_chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
+    row, chunk, own, before, place = (unused(pieces, c) for c in ("_row", "_chunk", "_own", "_before", "_place"))
+    # A rank among the pieces of a length: the pieces of earlier chunks, and the place in the own chunk. Rows are
+    # dealt to chunks by their numbers, which don't change once they are written, so equal rows are spread as well.
+    kept = cut(pieces.withColumn(row, F.monotonically_increasing_id())).withColumn(chunk, F.pmod(F.xxhash64(row), F.lit(chunks)).cast("int"))
+    counts = kept.groupBy("length", chunk).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("length").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut(counts.select("length", chunk, "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before)))
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = best_fit_decreasing(lengths, capacity)
     # Runs by length and rank as one key; a length has at most 2 ** 40 pieces in this form.
@@ -169,16 +175,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast(((table[:, 0] << 40) + table[:, 1], table))
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def place_of(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         keys, runs = shared.value
         run = runs[np.searchsorted(keys, (length.to_numpy() << 40) + rank.to_numpy(), "right") - 1]
         bins, inside = np.divmod(rank.to_numpy() - run[:, 1], run[:, 3])
         return pd.DataFrame({"sequence_id": run[:, 4] + bins, "offset": run[:, 5] + inside * run[:, 0]})
 
-    own = Window.partitionBy("_chunk", "length").orderBy("doc_id", "piece", "start")
-    ranked = kept.withColumn("_own", F.row_number().over(own) - 1).join(counts.select("length", "_chunk", "_before"), ["length", "_chunk"])
-    placed = ranked.withColumn("_place", place(F.col("length"), (F.col("_before") + F.col("_own")).cast("long")))
-    return placed.select(*pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    within = Window.partitionBy(chunk, "length").orderBy(row)
+    ranked = kept.withColumn(own, F.row_number().over(within) - 1).join(counts.select("length", chunk, before), ["length", chunk])
+    placed = ranked.withColumn(place, place_of(F.col("length"), (F.col(before) + F.col(own)).cast("long")))
+    return placed.select(*pieces.columns, F.col(f"{place}.sequence_id").alias("sequence_id"), F.col(f"{place}.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -190,8 +196,37 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
     return pack(tokenised_pieces(docs, vocabulary, capacity), capacity)
 
 
-def sequences(placed: DataFrame, with_ids: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids binary): the packed sequences, from placed pieces and the same pieces with ids."""
-    joined = placed.select("doc_id", "piece", "sequence_id", "offset", "length").join(with_ids.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
-    packed = joined.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+def sequences(placed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids binary): the packed sequences, from placed pieces that have their ids.
+
+    Each placed row is in its sequence once, whatever its doc_id.
+    """
+    packed = placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return packed.select("sequence_id", "length", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"))
+
+
+class Sequence(NamedTuple):
+    """Pieces (doc_id, piece, start, length, offset) of one sequence, its length and ids."""
+
+    pieces: list[tuple]
+    length: int
+    ids: bytes
+
+
+def packed_together(pieces: list[tuple], capacity: int = CAPACITY) -> list[Sequence]:
+    """Best-fit-decreasing sequences of some pieces (doc_id, piece, start, ids)."""
+    by_length: dict[int, list[tuple]] = {}
+    for p in pieces:
+        by_length.setdefault(len(p[-1]) // 4, []).append(p)
+    plan, bins = best_fit_decreasing({n: len(x) for n, x in by_length.items()}, capacity)
+    filled: list[list[tuple]] = [[] for _ in range(bins)]
+    for run in plan:
+        for nth, p in enumerate(by_length[run.length][run.rank : run.rank + run.bins * run.per_bin]):
+            at, inside = divmod(nth, run.per_bin)
+            filled[run.first_bin + at].append((run.offset + inside * run.length, p))
+    out = []
+    for rows in filled:
+        rows.sort(key=lambda r: r[0])
+        ids = b"".join(p[-1] for _, p in rows)
+        out.append(Sequence([(*p[:-1], len(p[-1]) // 4, offset) for offset, p in rows], len(ids) // 4, ids))
+    return out

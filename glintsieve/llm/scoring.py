@@ -51,28 +51,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-class _IdCache(dict):
-    """Maps a word, as bytes, to its packed ids."""
-
-    def __init__(self, words: WordCache):
-        self.words = words
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.words.limit:
-            self.clear()
-        ids = self[word] = self.words.encode(word.decode("utf-8", "surrogatepass"))
-        return ids
-
-
-_ID_CACHES: dict[str, _IdCache] = {}
-
-
-def _id_cache(vocabulary: str) -> _IdCache:
-    if vocabulary not in _ID_CACHES:
-        _ID_CACHES[vocabulary] = _IdCache(word_cache(vocabulary))
-    return _ID_CACHES[vocabulary]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n) of all texts of ``docs``; a document's end is the empty word."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -120,7 +98,7 @@ def id_counts(counts: DataFrame, vocabulary: str, size: int, end_id: int) -> np.
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        cache = _id_cache(vocabulary)
+        cache = word_cache(vocabulary)
         for batch in batches:
             parts = [cache[w] if w else end_id.to_bytes(4, "little") for w in batch.column(0).to_pylist()]
             ids = np.frombuffer(b"".join(parts), "<u4")
@@ -136,7 +114,7 @@ def id_counts(counts: DataFrame, vocabulary: str, size: int, end_id: int) -> np.
 
 def _batched(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, together: int) -> Iterator[list[np.ndarray]]:
     """The ids of all texts, so many texts at once that they have ``together`` ids."""
-    cache = _id_cache(vocabulary)
+    cache = word_cache(vocabulary)
     texts, held = [], 0
     for batch in batches:
         for text in batch.column(0):
@@ -225,7 +203,7 @@ def learn(docs: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAM
     chosen = everything.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
     texts, held = [], 0
     for row in chosen.distinct().orderBy(F.xxhash64("text")).limit(2 * sample).toLocalIterator():
-        texts.append(text_ids(row["text"], _id_cache(vocabulary), end_id))
+        texts.append(text_ids(row["text"], word_cache(vocabulary), end_id))
         held += len(texts[-1])
         if held >= SAMPLE_IDS:
             break
@@ -235,11 +213,11 @@ def learn(docs: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAM
     return model
 
 
-def text_ids(text: str | None, cache: _IdCache, end_id: int) -> np.ndarray:
+def text_ids(text: str | None, cache: WordCache, end_id: int) -> np.ndarray:
     return _ids(words_of(text), cache, end_id)
 
 
-def _ids(words: list[bytes], cache: _IdCache, end_id: int) -> np.ndarray:
+def _ids(words: list[bytes], cache: WordCache, end_id: int) -> np.ndarray:
     ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
     return np.append(ids, end_id).astype(np.int64)
 
@@ -271,7 +249,7 @@ def score_documents(docs: DataFrame, usable: Column, vocabulary: str, frequent:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         frequent_counts, model = shared.value
-        cache = _id_cache(vocabulary)
+        cache = word_cache(vocabulary)
         end = np.log10(end_count + SMOOTHING)
         for batch in batches:
             sizes, knowns, totals, rares, scores = [], [], [], [], []

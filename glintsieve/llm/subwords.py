@@ -1,22 +1,24 @@
-"""Subword ids of texts by a public tokenizer, with a bounded cache of words.
+"""Subword ids of texts by a public tokenizer, with bounded caches of words.
 
 The vocabulary file is a parameter.  Its tokenizer drops white space and never joins
 across it, so a text's ids are those of its words in order, and a word's ids are
-looked up once.  Tests hold the result against the tokenizer's own on whole texts.
+looked up once.  A word of letters that ends in punctuation is put together from its two
+runs, which are remembered as well.  Tests hold the result against the tokenizer's own
+on whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 
-#: Words in the cache of one Python worker; when it is full it is emptied.
-CACHED_WORDS = 400_000
+#: Words, and runs of letters, in each of the two generations of a Python worker's caches.
+CACHED_WORDS, CACHED_RUNS = 120_000, 200_000
 
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
-# Letters that lower-casing and canonical composition keep single, then ASCII punctuation.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+# Letters beyond ASCII that lower-casing and canonical composition keep single.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -26,47 +28,70 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordCache(dict):
-    """Maps a word (a run without ASCII white space) to its ids, packed as little-endian unsigned 32 bits."""
+class _Bounded(dict):
+    """Remembers results of a function: the last ``limit`` new ones, and as many before that were not asked for since."""
+
+    def __init__(self, made, limit: int):
+        self.made, self.limit = made, limit
+        self.before: dict[bytes, bytes] = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            super().clear()
+        self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.before.clear()
+
+
+class WordCache(_Bounded):
+    """Maps a word (UTF-8, a run without ASCII white space) to its ids, packed as little-endian unsigned 32 bits."""
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__(self.encode, limit)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.limit = limit
         self.shown = _visible_bytes()
-        self.marks: dict[str, list[int]] = {}
-
-    def encode(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            # A run of letters and one of punctuation are a piece each: the model alone is enough.
-            piece, marks = plain[1].lower(), plain[2]
-            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode())))]
-            if marks:
-                if marks not in self.marks:
-                    if len(self.marks) >= 10_000:
-                        self.marks.clear()
-                    self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
-                ids += self.marks[marks]
+        self.runs = _Bounded(self._run, CACHED_RUNS)
+        self.marks = _Bounded(self._run, 10_000)
+
+    def clear(self) -> None:
+        super().clear()
+        self.runs.clear()
+
+    def _run(self, run: bytes) -> bytes:
+        """The ids of a lower-cased run that is a piece of its own: the model alone is enough."""
+        return _packed([t.id for t in self.model.tokenize(run.decode() if run.isascii() else "".join(map(self.shown.__getitem__, run)))])
+
+    def encode(self, word: bytes) -> bytes:
+        letters = word.rstrip(_MARKS)
+        marks = word[len(letters) :]
+        if letters.isalpha():  # of ASCII
+            run = letters.lower()
+        elif letters.isascii() or not _LETTERS.fullmatch(text := letters.decode("utf-8", "surrogatepass")):
+            return _packed(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        packed = self[word] = self.encode(word)
-        return packed
+            run = text.lower().encode()
+        return self.runs[run] + self.marks[marks] if marks else self.runs[run]
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text, four bytes each."""
-        if not text:
-            return b""
-        words = _SPACE.split(text)
-        return b"".join([self[w] for w in words if w])
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split())) if text else b""
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    assert out.itemsize == 4
+    return out.tobytes()
 
 
 _CACHES: dict[str, WordCache] = {}

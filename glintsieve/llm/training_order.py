@@ -1,6 +1,6 @@
 """Training-order materialisation: every sequence has a slot in one global random order.
 
-Sequences are numbered over the whole corpus, and a keyed Feistel network permutes the
+Documents are packed into sequences where they are read.  Sequences are numbered over the whole corpus, and a keyed Feistel network permutes the
 numbers: a bijection on the smallest even number of bits that holds them, walked along its
 cycles until it lands below their count.  So the order is random, needs no sort of
 random keys, and is the same for the same key and corpus.  Shards are ranges of slots: each is a
@@ -9,23 +9,27 @@ blob of sequences at a fixed stride, so a reader that stopped at a slot goes on
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder
-from .packing import CAPACITY, END_ID, tokenised_pieces
+from .common import give_back, new_folder, partitions, remove_folder
+from .packing import CAPACITY, END_ID, packed_together, pieces_of
+from .subwords import word_cache
 
 KEY, ROUNDS = 20240501, 6
 #: Sequences of a shard.
 SHARD = 64
 #: Shards of a row group: blobs are mostly padding where texts are short, and a reader holds a group at once.
 ROW_GROUP = 64
+#: Ids that are packed together in a task.
+TOGETHER = 2_000_000
+_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())])
+_PIECES = "array<struct<doc_id: long, piece: int, start: long, length: long, offset: long>>"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -47,43 +51,85 @@ def permute(numbers: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def ordered_sequences(pieces: DataFrame, key: int = KEY, shard: int = SHARD) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, ids_crc32, ...) with slot, shard and place in the shard.
+def packed_sequences(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    """(ids, length, pieces) of ``docs`` (doc_id, text), tokenised and packed in the tasks that read them.
 
-    Pieces are numbered by a hash chunk of document and piece and, in it, by doc_id,
-    piece, start and checksum: counts of chunks are all that is gathered.  Equal rows
-    have slots of their own.  Without rows the result is empty.
+    Best-fit-decreasing packing takes the pieces of some ``TOGETHER`` ids at a time, so a
+    task holds no more than these, and one bin in hundreds is not full.  ``ids`` is in the
+    form of ``small``; ``pieces`` are (doc_id, piece, start, length, offset) in their order.
     """
-    chunks = 4 * partitions(pieces.sparkSession)
-    chunked = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
-    folder = f"{shared_folder(pieces.sparkSession)}/pieces-{uuid.uuid4().hex}"
-    chunked.write.parquet(folder)
-    kept = pieces.sparkSession.read.schema(chunked.schema).parquet(folder)
-    sizes = sorted((r["_chunk"], r["n"]) for r in kept.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")).collect())
-    before = np.zeros(chunks, np.int64)
-    total = 0
-    for c, n in sizes:
-        before[c] = total
-        total += n
+    schema = pa.schema([("ids", pa.binary()), ("length", pa.int64()), ("pieces", pa.list_(_PIECE))])
+    names = [f.name for f in _PIECE]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = word_cache(vocabulary)
+        held: list[tuple] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            made = packed_together(held, capacity)
+            held.clear()
+            columns = [[small(s.ids) for s in made], [s.length for s in made], [[dict(zip(names, p, strict=True)) for p in s.pieces] for s in made]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    for piece, at, part in pieces_of(cache, text.as_py(), capacity):
+                        held.append((doc_id, piece, at // 4, part))
+                        size += len(part) // 4
+                        if size >= TOGETHER:
+                            yield packed()
+                            size = 0
+            if held:
+                yield packed()
+        finally:
+            cache.clear()
+            give_back()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(make, f"ids binary, length long, pieces {_PIECES}")
+
+
+def ordered_sequences(written: DataFrame, key: int = KEY, shard: int = SHARD) -> DataFrame:
+    """``written``, sequences as read from Parquet files, with slot, shard and place in the shard.
+
+    A sequence's number is its row in its file after all rows of the files before, by
+    name: the counts of files are all that is gathered, and nothing is shuffled.  Equal
+    sequences have slots of their own.  Without rows the result is empty.
+    """
+    spark = written.sparkSession
+    # One row for each file, so as many as there were tasks.
+    named = written.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sizes = sorted((r["_file"], r["n"]) for r in named.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    before = spark.createDataFrame([(f, b) for (f, _), b in zip(sizes, starts, strict=False)], "_file string, _before long")
 
     @F.pandas_udf("long")
-    def slot(chunk: pd.Series, nth: pd.Series) -> pd.Series:
-        return pd.Series(permute(before[chunk.to_numpy()] + nth.to_numpy(), total, key))
+    def slot(numbers: pd.Series) -> pd.Series:
+        return pd.Series(permute(numbers.to_numpy(), total, key))
 
-    order = Window.partitionBy("_chunk").orderBy("doc_id", "piece", "start", "ids_crc32")
-    placed = kept.withColumn("_nth", F.row_number().over(order) - 1).withColumn("slot", slot("_chunk", "_nth"))
-    return placed.select(*pieces.columns, "slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).cast("int").alias("place"))
+    placed = named.join(F.broadcast(before), "_file").withColumn("slot", slot((F.col("_before") + F.col("_at")).cast("long")))
+    return placed.select(*written.columns, "slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).cast("int").alias("place"))
 
 
 def order_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: int = KEY) -> DataFrame:
-    """Documents' pieces of ``capacity`` ids at most, with their slots, as the written shards hold them.
+    """Documents' pieces with the slots of their sequences, as the written shards hold them.
 
-    The ids are written as shards to the shared folder; the rows are read from these.
-    Null and empty texts are an end id alone; very long texts are many pieces; a null
-    doc_id and repeated rows have pieces and slots as any other.
+    The packed ids are written as shards to the shared folder; the rows are read from
+    these.  Null and empty texts are an end id alone; very long texts are many pieces; a
+    null doc_id and repeated rows have pieces as any other.  Numbers, and so slots,
+    depend on how the table is split into tasks, but not on which attempt of a task wrote.
     """
-    ordered = ordered_sequences(tokenised_pieces(docs, vocabulary, capacity, with_ids=True, form=small), key)
-    return written_sequences(write_shards(shards(ordered, capacity, whole)), capacity)
+    spark = docs.sparkSession
+    sequences = packed_sequences(docs, vocabulary, capacity)
+    folder = new_folder(spark, "sequences")
+    sequences.write.option("compression", "none").parquet(folder)
+    made = shards(ordered_sequences(spark.read.schema(sequences.schema).parquet(folder), key), capacity)
+    written = write_shards(made)
+    remove_folder(spark, folder)
+    return written_sequences(written, capacity)
 
 
 def small(ids: bytes) -> bytes:
@@ -96,17 +142,15 @@ def whole(ids: bytes, length: int) -> bytes:
     return np.frombuffer(pa.Codec("zstd").decompress(ids, 4 * length, asbytes=True), np.uint8).reshape(4, -1).T.tobytes()
 
 
-def shards(ordered: DataFrame, capacity: int = CAPACITY, ids_of: Callable[[bytes, int], bytes] = lambda ids, length: ids) -> DataFrame:
-    """(shard, blob, sequences) from ordered pieces with ids: sequences in order, each padded with the end id to ``capacity`` ids.
+def shards(ordered: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(shard, blob, sequences) from ordered sequences: their ids in order, each padded with the end id to ``capacity`` ids.
 
-    ``ids_of`` gives a piece's ids from its column ids and its length.  ``sequences`` has doc_id, piece, start and length of each, so padding can be told from
-    ids.  Partitions are ranges of shards: written, the files are in training order.
+    ``sequences`` has the pieces of each, so padding can be told from ids.  Partitions
+    are ranges of shards: written, the files are in training order.
     """
     stride = 4 * capacity
     end = END_ID.to_bytes(4, "little")
-    names = ("doc_id", "piece", "start", "length")
-    sequence = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])
-    schema = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("sequences", pa.list_(sequence))])
+    schema = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("sequences", pa.list_(pa.list_(_PIECE)))])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blob, rows = None, [], []
@@ -115,39 +159,42 @@ def shards(ordered: DataFrame, capacity: int = CAPACITY, ids_of: Callable[[bytes
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([now], [b"".join(blob)], [rows]), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "ids", *names)]
-            for shard, ids, *row in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("shard", "ids", "length", "pieces")]
+            for shard, ids, length, pieces in zip(*columns, strict=True):
                 if shard != now:
                     if rows:
                         yield made()
                     now, blob, rows = shard, [], []
-                ids = ids_of(ids, row[-1])
-                blob.append(ids + end * ((stride - len(ids)) // 4))
-                rows.append(dict(zip(names, row, strict=True)))
+                blob.append(whole(ids, length) + end * (capacity - length))
+                rows.append(pieces)
         if rows:
             yield made()
 
-    dealt = ordered.select("shard", "place", "ids", *names).repartitionByRange(partitions(ordered.sparkSession), "shard").sortWithinPartitions("shard", "place")
-    return dealt.mapInArrow(lay, "shard long, blob binary, sequences array<struct<doc_id: long, piece: int, start: long, length: long>>")
+    dealt = ordered.select("shard", "place", "ids", "length", "pieces").repartitionByRange(partitions(ordered.sparkSession), "shard").sortWithinPartitions("shard", "place")
+    return dealt.mapInArrow(lay, f"shard long, blob binary, sequences array<{_PIECES}>")
 
 
 def write_shards(made: DataFrame) -> DataFrame:
     """Writes shards to a new folder of the shared ones, and reads them from there."""
-    folder = f"{shared_folder(made.sparkSession)}/shards-{uuid.uuid4().hex}"
-    made.write.option("parquet.block.row.count.limit", ROW_GROUP).option("compression", "zstd").parquet(folder)
+    folder = new_folder(made.sparkSession, "shards")
+    made.write.option("parquet.block.row.count.limit", ROW_GROUP).option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(folder)
     return made.sparkSession.read.schema(made.schema).parquet(folder)
 
 
 def written_sequences(written: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, slot, shard, place, byte_offset) of each sequence; the checksum is of the ids in the blob."""
+    """(doc_id, piece, start, length, ids_crc32, slot, shard, place, offset, byte_offset) of each piece; the checksum is of its ids in the blob.
+
+    ``offset`` is the piece's in its sequence, in ids, and ``byte_offset`` its in the blob.
+    """
     stride = 4 * capacity
 
-    def row(s: Column, at: Column) -> Column:
-        ids = F.substring(F.col("blob"), at * stride + 1, (s["length"] * 4).cast("int"))
+    def row(p: Column, at: Column) -> Column:
+        first = at * stride + p["offset"] * 4
+        ids = F.substring(F.col("blob"), (first + 1).cast("int"), (p["length"] * 4).cast("int"))
         slot = F.col("shard") * shard + at
-        return F.struct(s["doc_id"].alias("doc_id"), s["piece"].alias("piece"), s["start"].alias("start"), s["length"].alias("length"), F.crc32(ids).alias("ids_crc32"), slot.alias("slot"), F.col("shard").alias("shard"), at.alias("place"), (at * stride).cast("long").alias("byte_offset"))
+        return F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["start"].alias("start"), p["length"].alias("length"), F.crc32(ids).alias("ids_crc32"), slot.alias("slot"), F.col("shard").alias("shard"), at.alias("place"), p["offset"].alias("offset"), first.cast("long").alias("byte_offset"))
 
-    return written.select(F.inline(F.transform("sequences", row)))
+    return written.select(F.inline(F.flatten(F.transform("sequences", lambda s, at: F.transform(s, lambda p: row(p, at))))))
 
 
 def read_from(written: DataFrame, slot: int, capacity: int = CAPACITY, shard: int = SHARD) -> Iterator[np.ndarray]:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glintsieve.llm import jaccard
 from glintsieve.llm.graph import components
@@ -137,6 +138,43 @@ def test_repeated_rows_null_ids_and_nothing(spark):
     assert jaccard.jaccard_components(docs.where("false")).collect() == []
 
 
+def test_rows_that_share_an_id_are_linked(spark):
+    rows = [(3, "a b c d"), (5, "a b c d"), (5, "x y z w"), (9, "x y z w"), (9, "p q r s"), (11, "p q r s"), (12, "k l m n"), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(docs).collect())
+    assert got == sorted([(3, 2, 3), (5, 2, 3), (5, 2, 3), (9, 2, 3), (9, 2, 3), (11, 2, 3), (12, 2, 12), (12, 0, 12)])
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_one_row_of_each_group_stays(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
+    rows = [(3, "a b c d e f", "1"), (5, "a b c d e f", "2"), (5, "x y z w v", "3"), (5, "x Y z w v", "4"), (5, None, "5"), (None, "a b c d e f", "6"), (None, "q r s t u", "7"), (None, "q r s t u", "8"), (None, "", "9"), (7, "a b c d e f", "10"), (7, " ", "11"), (8, "", "12"), (8, "", "13")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string").withColumn("set", F.create_map(F.lit(1), F.lit(2)))
+    kept = jaccard.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.h1 for r in kept.collect())
+    assert set(got) - {"7", "8"} == {"1", "4", "5", "9", "11", "12", "13"} and len(set(got) & {"7", "8"}) == 1 and len(got) == 8
+
+
+def test_large_families_lose_no_link(spark, monkeypatch):
+    """Families of many blocks, of one component and of several that share a routing key."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(draw.choice([1, 2, 3, 9])):
+            words[draw.randrange(120)] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:k] + [f"y{j}"] * 3) for j, k in enumerate((100, 104, 108, 112))]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for num in (80,):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 3, num, 100).collect()}
+        assert got == brute(rows, 3, num, 100)
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 3), (3, None)]

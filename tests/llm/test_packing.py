@@ -121,14 +121,39 @@ def test_no_documents(spark):
 
 
 def test_sequences_hold_the_ids(spark, tokenizer):
-    docs = spark.createDataFrame([(1, "one two three"), (2, "four five " * 30), (3, None)], "doc_id long, text string")
-    placed = packing.pack_documents(docs, VOCABULARY, 32)
-    made = packing.sequences(placed, packing.tokenised_pieces(docs, VOCABULARY, 32, with_ids=True)).collect()
+    """Of repeated rows and null ids too."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five " * 30), (3, None), (3, None), (1, "one two three"), (1, "one two three"), (None, "six"), (None, "six")], "doc_id long, text string")
+    placed = packing.pack(packing.tokenised_pieces(docs, VOCABULARY, 32, with_ids=True), 32)
+    made = packing.sequences(placed).collect()
     assert all(len(r.ids) == 4 * r.length <= 128 for r in made)
     every = sorted(x for r in made for x in np.frombuffer(bytes(r.ids), "<u4").tolist())
     assert every == sorted(x for r in docs.collect() for x in [*ids_of(tokenizer, r.text), 0])
 
 
+def test_columns_may_have_any_names(spark):
+    pieces = spark.createDataFrame([(i % 3, 1 + i % 5, i, "a", 7) for i in range(40)], "_row long, length long, _chunk long, _own string, offset int")
+    rows = packing.pack(pieces, 8).collect()
+    assert sorted((r._row, r.length, r._chunk) for r in rows) == sorted((i % 3, 1 + i % 5, i) for i in range(40))
+    assert max(r.offset + r.length for r in rows) <= 8
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_in_a_task_is_best_fit(seed):
+    draw = random.Random(seed)
+    pieces = [(i, 0, 0, bytes([i % 256]) * 4 * draw.randint(1, 16)) for i in range(draw.randint(0, 150))]
+    made = packing.packed_together(pieces, 16)
+    assert sorted(16 - s.length for s in made) == sorted(naive_best_fit([len(p[-1]) // 4 for p in pieces], 16))
+    got = []
+    for s in made:
+        at = 0
+        for doc_id, piece, start, length, offset in s.pieces:
+            assert offset == at
+            at += length
+            got.append((doc_id, piece, start, s.ids[4 * offset : 4 * at]))
+        assert at == s.length <= 16
+    assert sorted(got) == sorted(pieces)
+
+
 def test_whole_table(spark, small, tokenizer):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = packing.pack_documents(docs, VOCABULARY).collect()

@@ -9,6 +9,7 @@ import pytest
 from glintsieve.llm import scoring
 from glintsieve.llm.attention import STRIDE, AttentionModel
 from glintsieve.llm.common import VOCABULARY
+from glintsieve.llm.subwords import word_cache
 
 
 def tokens(text):
@@ -118,7 +119,7 @@ def test_all_training_texts_give_transitions_and_weights(spark):
     docs = spark.createDataFrame(rows, "text string").repartition(3)
     counts = scoring.word_counts(docs)
     model = scoring.learn(docs, counts, VOCABULARY, sample=1)
-    texts = [scoring.text_ids(r[0], scoring._id_cache(VOCABULARY), model.end_id) for r in rows]
+    texts = [scoring.text_ids(r[0], word_cache(VOCABULARY), model.end_id) for r in rows]
     again = AttentionModel(scoring.id_counts(counts, VOCABULARY, len(model.class_of), model.end_id))
     again.start_from(again.transitions(texts))
     assert again.transitions(texts).sum() == sum(map(len, texts))

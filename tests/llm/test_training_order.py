@@ -21,20 +21,46 @@ def test_permutation(count):
         assert abs(np.corrcoef(slots, np.arange(count))[0, 1]) < 0.15
 
 
-def test_shards_hold_all_sequences_in_order(spark):
+def brute_sequences(rows):
+    """slot to the ids of its pieces in order, from rows whose ids are told apart by (start, checksum)."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.slot, r.offset)):
+        out.setdefault(r.slot, []).append(r)
+    return out
+
+
+def check_rows(rows, docs, capacity, shard):
+    """Every piece of every document once, in gapless sequences, one for each slot; nearly as few as can be."""
+    want = [tuple(r) for r in tokenised_pieces(docs, VOCABULARY, capacity).collect()]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == sorted(want, key=str)
+    by_slot = brute_sequences(rows)
+    assert sorted(by_slot) == list(range(len(by_slot)))
+    for slot, pieces in by_slot.items():
+        end = 0
+        for r in pieces:
+            assert r.offset == end and (r.shard, r.place) == divmod(slot, shard) and r.byte_offset == 4 * (r.place * capacity + end)
+            end += r.length
+        assert end <= capacity
+    assert len(by_slot) <= 1.2 * sum(r.length for r in rows) / capacity + 16
+    return by_slot
+
+
+def test_shards_hold_all_sequences_in_order(spark, monkeypatch):
+    monkeypatch.setattr(order, "TOGETHER", 300)
     texts = [None, "", "one two three", "word " * 100, "again", "again"]
-    docs = spark.createDataFrame([(i // 2 if i > 4 else i, t, 1) for i, t in enumerate(texts * 10)] + [(None, "x", 2)], "doc_id long, text string, slot int")
-    pieces = tokenised_pieces(docs, VOCABULARY, 32, with_ids=True)
-    made = order.ordered_sequences(pieces, shard=8).cache()
-    rows = made.collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows))) and all((r.shard, r.place) == divmod(r.slot, 8) for r in rows)
-    again = order.ordered_sequences(pieces.repartition(5), shard=8).collect()
-    key = lambda r: (r.slot, bytes(r.ids))
-    assert sorted(map(key, again)) == sorted(map(key, rows))
-    blobs = order.shards(made, 32).cache()
-    want = [np.pad(np.frombuffer(bytes(r.ids), "<u4"), (0, 32 - r.length)) for r in sorted(rows, key=lambda r: r.slot)]
+    docs = spark.createDataFrame([(i // 2 if i > 4 else i, t, 1) for i, t in enumerate(texts * 20)] + [(None, "x", 2)] * 3, "doc_id long, text string, slot int")
+    written = []
+    write = order.write_shards
+    monkeypatch.setattr(order, "write_shards", lambda made: written.append(write(made)) or written[0])
+    rows = order.written_sequences(order.order_documents(docs, VOCABULARY, 32) and written[0], 32, 64).collect()
+    by_slot = check_rows(rows, docs, 32, 64)
+    want = []
+    blobs = {r.shard: bytes(r.blob) for r in written[0].collect()}
+    for pieces in by_slot.values():
+        ids = b"".join(blobs[r.shard][r.byte_offset : r.byte_offset + 4 * r.length] for r in pieces)
+        want.append(np.pad(np.frombuffer(ids, "<u4"), (0, 32 - len(ids) // 4)))
     for start in (0, 5, 8, 19):
-        got = list(order.read_from(blobs, start, 32, 8))
+        got = list(order.read_from(written[0], start, 32, 64))
         assert len(got) == len(want) - start and all(np.array_equal(a, b) for a, b in zip(got, want[start:], strict=True))
 
 
@@ -42,28 +68,23 @@ def test_nothing(spark):
     assert order.order_documents(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY).collect() == []
 
 
-def test_whole_table(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    rows = order.order_documents(docs, VOCABULARY).collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    want = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in tokenised_pieces(docs, VOCABULARY).collect()}
-    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want
-
-
 def test_the_query_reads_its_rows_from_written_shards(spark, small, monkeypatch):
     written = []
     write = order.write_shards
     monkeypatch.setattr(order, "write_shards", lambda made: written.append(write(made)) or written[0])
-    rows = sorted(queries.op8_training_order(spark, small).collect(), key=lambda r: r.slot)
+    rows = queries.op8_training_order(spark, small).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    by_slot = check_rows(rows, docs, order.CAPACITY, order.SHARD)
     files = [f.removeprefix("file://") for f in written[0].inputFiles()]
     assert files
     assert all(pq.ParquetFile(f).metadata.row_group(0).num_rows <= order.ROW_GROUP for f in files)
     blobs = {r.shard: bytes(r.blob) for r in written[0].collect()}
-    assert set(map(len, blobs.values())) <= {4 * order.CAPACITY * n for n in range(1, order.SHARD + 1)}
-    for r in rows:
-        ids = blobs[r.shard][r.byte_offset : r.byte_offset + 4 * r.length]
-        assert (r.shard, r.place) == divmod(r.slot, order.SHARD) and zlib.crc32(ids) == r.ids_crc32
-        assert not any(blobs[r.shard][r.byte_offset + 4 * r.length : r.byte_offset + 4 * order.CAPACITY])
-    for slot in (0, len(rows) // 2):
-        for r, ids in zip(rows[slot:], order.read_from(written[0], slot), strict=True):
-            assert zlib.crc32(ids[: r.length].tobytes()) == r.ids_crc32
+    for pieces in by_slot.values():
+        for r in pieces:
+            assert zlib.crc32(blobs[r.shard][r.byte_offset : r.byte_offset + 4 * r.length]) == r.ids_crc32
+        end = 4 * (pieces[-1].place * order.CAPACITY + pieces[-1].offset + pieces[-1].length)
+        assert not any(blobs[pieces[0].shard][end : 4 * order.CAPACITY * (pieces[0].place + 1)])
+    for slot in (0, len(by_slot) // 2):
+        left = [by_slot[s] for s in sorted(by_slot) if s >= slot]
+        for pieces, ids in zip(left, order.read_from(written[0], slot), strict=True):
+            assert all(zlib.crc32(ids[r.offset : r.offset + r.length].tobytes()) == r.ids_crc32 for r in pieces)
