@@ -6,19 +6,15 @@ the columns of documents.  ``run`` applies them to the table of documents.
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintsieve.llm import decontaminate, jaccard, language, packing, secrets
-from glintsieve.llm.common import VOCABULARY, cut, shared_folder, table, unused
+from glintsieve.llm.common import VOCABULARY, new_folder, remove_folder, table, unused
 
 #: Near duplicates: words of a shingle, and the least Jaccard in hundredths.
 SHINGLE_WORDS, LEAST_JACCARD = 5, 80
-#: Up to so many ids are broadcast; beyond, both sides are shuffled.
-BROADCAST_IDS = 500_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +25,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates, as one row.
-
-    Documents without words, and rows with a null doc_id, are in no group and stay.
-    """
-    groups = cut(jaccard.jaccard_components(docs.select("doc_id", "text"), SHINGLE_WORDS, LEAST_JACCARD, 100))
-    gone = cut(groups.where("component_id != doc_id").select("doc_id").distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    rows, words, nth = unused(docs, "rows"), unused(docs, "words"), unused(docs, "nth")
-    again = cut(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1))
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    # Some doc_id has several rows with words: of each, the row with the least text stays.
-    marked = kept.join(again, "doc_id", "left").withColumn(words, F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")) > 0, F.lit(False)))
-    several = F.col(rows).isNotNull() & F.col(words)
-    first = marked.where(several).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1)
-    return marked.where(~several).select(*docs.columns).unionByName(first.select(*docs.columns))
+    """Keeps one row of each group of near duplicates, that with the least doc_id; rows without words are in no group and stay."""
+    return jaccard.distinct_documents(docs, SHINGLE_WORDS, LEAST_JACCARD, 100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,10 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents, each written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}-{name}")
-        docs = spark.read.parquet(f"{folder}/{n}-{name}")
+    """All stages over the table of documents, each written to the shared folder and read again.
+
+    A stage's rows are deleted when the next one's are written; the last one's stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        folder = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        before = folder
     return docs
