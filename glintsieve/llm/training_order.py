@@ -188,13 +188,15 @@ def written_sequences(written: DataFrame, capacity: int = CAPACITY, shard: int =
     """
     stride = 4 * capacity
 
-    def row(p: Column, at: Column) -> Column:
+    def row(blob: Column, p: Column, at: Column) -> Column:
         first = at * stride + p["offset"] * 4
-        ids = F.substring(F.col("blob"), (first + 1).cast("int"), (p["length"] * 4).cast("int"))
+        ids = F.substring(blob, (first + 1).cast("int"), (p["length"] * 4).cast("int"))
         slot = F.col("shard") * shard + at
         return F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["start"].alias("start"), p["length"].alias("length"), F.crc32(ids).alias("ids_crc32"), slot.alias("slot"), F.col("shard").alias("shard"), at.alias("place"), p["offset"].alias("offset"), first.cast("long").alias("byte_offset"))
 
-    return written.select(F.inline(F.flatten(F.transform("sequences", lambda s, at: F.transform(s, lambda p: row(p, at))))))
+    # As a variable the blob is fetched once for each shard; a column would be copied out for each piece.
+    pieces = lambda blob: F.flatten(F.transform("sequences", lambda s, at: F.transform(s, lambda p: row(blob, p, at))))
+    return written.select(F.inline(F.flatten(F.transform(F.array("blob"), pieces))))
 
 
 def read_from(written: DataFrame, slot: int, capacity: int = CAPACITY, shard: int = SHARD) -> Iterator[np.ndarray]:
