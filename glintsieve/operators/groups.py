@@ -42,23 +42,27 @@ def group_findings(found: DataFrame) -> DataFrame:
     the first locators of the other findings.
     """
     score = F.struct((-F.col("score")).alias("s"), *ORDER)
-    ranked = found.withColumn("_locator", locator()).withColumn("_salt", F.pmod(F.xxhash64("source", "line_no"), F.lit(SALTS)))
-    part = Window.partitionBy("fingerprint", "_salt")
-    # In each part the best finding and the first ones; one more than the samples, for the best may be among them.
-    near = ranked.withColumn("_best", F.row_number().over(part.orderBy(score))).withColumn("_first", F.row_number().over(part.orderBy(*ORDER)))
-    near = near.where((F.col("_best") == 1) | (F.col("_first") <= SAMPLES + 1))
-    whole = Window.partitionBy("fingerprint")
-    near = near.withColumn("_rank", F.row_number().over(whole.orderBy(score)))
-    best = near.where("_rank = 1").drop("_salt", "_best", "_first", "_rank", "_locator")
-    others = near.where("_rank > 1").withColumn("_place", F.row_number().over(whole.orderBy(*ORDER))).where(F.col("_place") <= SAMPLES)
-    samples = others.groupBy("fingerprint").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_locator"))), lambda x: x["_locator"]).alias("sample_locations"))
-    sums = found.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.sort_array(F.collect_set("source")).alias("sources"),
-        F.sort_array(F.collect_set(F.when(F.length("json_path") > 0, F.col("json_path")))).alias("json_paths"),
-    )
-    none = F.array().cast("array<string>")
-    return best.join(sums, "fingerprint").join(samples, "fingerprint", "left").withColumn("sample_locations", F.coalesce("sample_locations", none))
+    # One shuffle of the findings, in salted parts, gives all; a fingerprint's parts are then few rows.
+    spread = found.select(
+        "fingerprint", "source", "json_path", F.pmod(F.xxhash64("source", "line_no"), F.lit(SALTS)).alias("_salt"),
+        score.alias("_score"), F.struct(*found.columns).alias("_row"), F.struct(*ORDER, locator().alias("place")).alias("_place"),
+    )
+    nth = F.row_number().over(Window.partitionBy("fingerprint", "_salt").orderBy("_place"))
+    parts = spread.withColumn("_nth", nth).groupBy("fingerprint", "_salt").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("_row", "_score").alias("best"), F.min("_score").alias("score"),
+        F.collect_set("source").alias("sources"), F.collect_set(F.when(F.length("json_path") > 0, F.col("json_path"))).alias("json_paths"),
+        F.collect_list(F.when(F.col("_nth") <= SAMPLES + 1, F.col("_place"))).alias("places"),
+    )
+    whole = parts.groupBy("fingerprint").agg(
+        F.sum("n").alias("occurrences"), F.min_by("best", "score").alias("best"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("json_paths")))).alias("json_paths"),
+        F.array_sort(F.flatten(F.collect_list("places"))).alias("places"),
+    )
+    # The representative may be among the first places, and is no sample of itself.
+    itself = F.array_position(F.transform("places", lambda x: F.struct(*[x[c].alias(c) for c in ORDER])), F.struct(*[F.col("best")[c].alias(c) for c in ORDER]))
+    others = F.filter("places", lambda x, i: i + 1 != itself)
+    return whole.select("best.*", "occurrences", "sources", "json_paths", F.transform(F.slice(others, 1, SAMPLES), lambda x: x["place"]).alias("sample_locations"))
 
 
 def ordered(groups: DataFrame) -> DataFrame:
