@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..functions import scalar
+from ..functions.gate import Gate
+from ..operators.rules import load_rules
 from .logs import APP_LINES, CLOUD_LINES, CONTAINER_LINES, VALUES
 
 _PLACEHOLDER = "(" + " OR ".join(f"contains(lower({{0}}), '{w}')" for w in scalar.PLACEHOLDERS) + " OR lower({0}) IN (" + ", ".join(f"'{w}'" for w in scalar.DOCUMENTED_SECRETS) + "))"
@@ -18,6 +20,46 @@ def _p(x: str) -> str:
     return _PLACEHOLDER.format(x)
 
 
+_LIKENESS = f"""CASE WHEN length(w) < 4 THEN 0.0 ELSE round(
+    0.6 * least(greatest((len(list_filter(list_transform(range(1, greatest(length(w), 2)), lambda i: lower(w)[i:i + 1]), lambda x: list_contains([{", ".join(f"'{b}'" for b in scalar.COMMON_BIGRAMS)}], x))) / (length(w) - 1)::DOUBLE - 0.10) / 0.25, 0.0), 1.0)
+  + 0.4 * least(greatest((length(regexp_replace(w, '[^aeiouAEIOU]', '', 'g')) / length(w)::DOUBLE - 0.16) / 0.22, 0.0), 1.0), 4) END"""
+# Whether a value (of charset cs) is the base64 of text, by its decoded bytes.
+_PLAIN = "translate(rtrim({0}, '='), '-_', '+/')"
+_BYTES = f"CASE WHEN cs IN ('base64', 'base64url', 'base62') AND length({_PLAIN}) % 4 != 1 THEN hex(from_base64(rpad({_PLAIN}, CAST(ceil(length({_PLAIN}) / 4.0) * 4 AS INT), '='))) END"
+_TEXT = "length({0}) >= 12 AND length(raw) >= 12 AND (left(raw, 2) IN ('7B', '5B') OR left(raw, 10) = '3C3F786D6C' OR len(list_filter(range(0, length(raw) // 2), lambda i: raw[2 * i + 1:2 * i + 2] BETWEEN '20' AND '7E' OR raw[2 * i + 1:2 * i + 2] IN ('09', '0A', '0D'))) / (length(raw) / 2) >= 0.9)"
+
+
+def _judged(values: str, gate: Gate) -> str:
+    """(v, reason) of each value of a select's column v under a gate; null if it is accepted. All steps are done on the value itself."""
+    checks = [f"WHEN {_p('v')} THEN 'placeholder-or-doc-example'"] if gate.reject_placeholders else []
+    if gate.enabled:
+        checks += [f"WHEN length(v) < {gate.min_length} THEN 'too-short'", f"WHEN length(v) > {gate.max_length} THEN 'too-long'"]
+        checks += [f"WHEN cs NOT IN ({', '.join(repr(c) for c in sorted(gate.charsets))}) THEN 'charset-not-allowed'"] if gate.charsets else []
+        checks += ["WHEN regexp_full_match(v, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}') THEN 'uuid-shape'"] if gate.reject_uuid else []
+        checks += [
+            "WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}') THEN 'timestamp-shape'", "WHEN regexp_full_match(v, '[0-9.,:+-]+') THEN 'numeric-only'",
+            f"WHEN len(list_distinct(string_split(v, ''))) / least(length(v), {_SIZE})::DOUBLE < {gate.min_charset_coverage} THEN 'low-charset-coverage'",
+            f"WHEN repeat_run > {gate.max_repeat_run} THEN 'repeated-run'", f"WHEN sequential_run > {gate.max_sequential_run} THEN 'sequential-run'",
+            f"WHEN cs NOT IN ('hex', 'base32') AND {_LIKENESS} > {gate.max_word_likeness} THEN 'natural-language-like'",
+        ]
+        checks += [f"WHEN coalesce({_TEXT.format('v')}, false) THEN 'base64-decodes-to-text'"] if gate.reject_encoded_text else []
+        checks += [f"WHEN {_ENTROPY.format('v')} < {gate.min_entropy} THEN 'entropy-below-threshold'", f"WHEN {_ENTROPY.format('v')} / log2({_SIZE}) < {gate.min_normalized} THEN 'normalized-entropy-below-threshold'"]
+    return f"""(WITH jv AS (SELECT DISTINCT v FROM ({values})),
+     jc AS (SELECT v, unnest(string_split(v, '')) AS ch, unnest(range(1, length(v) + 1)) AS i FROM jv),
+     js AS (SELECT v, i, ord(ch) - lag(ord(ch)) OVER (PARTITION BY v ORDER BY i) AS step FROM jc),
+     jt AS (SELECT *, CASE WHEN step = lag(step) OVER (PARTITION BY v ORDER BY i) THEN 0 ELSE 1 END AS new FROM js),
+     jg AS (SELECT *, sum(new) OVER (PARTITION BY v ORDER BY i) AS run FROM jt),
+     jr AS (SELECT v, run, any_value(step) AS step, count(*) + 1 AS n FROM jg GROUP BY v, run),
+     ju AS (SELECT v, coalesce(max(n) FILTER (step = 0), 1) AS repeat_run, coalesce(max(n) FILTER (abs(step) = 1), 1) AS sequential_run FROM jr GROUP BY v),
+     jn AS (SELECT *, {_CHARSET.format("v")} AS cs, regexp_replace(v, '[^A-Za-z]', '', 'g') AS w FROM ju),
+     jb AS (SELECT *, {_BYTES.format("v")} AS raw FROM jn)
+SELECT v, {"CASE " + " ".join(checks) + " END" if checks else "NULL"} AS reason FROM jb)"""
+
+
+def _gate_of(rule_id: str) -> Gate:
+    return load_rules().get(rule_id).gate
+
+
 _LINES = """
 SELECT 'doc-' || doc_id AS source, i AS line_no, regexp_replace(x, '\\r$', '') AS line, x AS raw, l, i
 FROM (SELECT doc_id, l, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i
@@ -100,4 +142,19 @@ UNION ALL SELECT source, '', NULL, line_no, line_no, line FROM c WHERE line_no %
     "rule_packs": "SELECT * FROM (VALUES ('aws', 7, 6), ('azure', 6, 6), ('database', 5, 5), ('gcp', 7, 7), ('generic', 6, 4), ('private-keys', 6, 6), ('vendors', 29, 29)) t(pack, rules, enabled)",
     "screen_keeps_findings": "SELECT CAST('' AS VARCHAR) AS rule_id, CAST(0 AS BIGINT) AS lost WHERE false",
     "stream_scan": f"WITH {_STRUCTURAL} SELECT fingerprint, count(*) AS occurrences FROM named GROUP BY fingerprint",
+    "encoded_text": f"""
+WITH c AS (SELECT id, CASE WHEN id % 2 = 0 THEN to_base64(CAST('{{"user":"' || value || '"}}' AS BLOB)) ELSE to_base64(unhex(sha256(value))) END AS v FROM ({VALUES})),
+     n AS (SELECT *, {_CHARSET.format("v")} AS cs FROM c), b AS (SELECT *, {_BYTES.format("v")} AS raw FROM n)
+SELECT id, coalesce({_TEXT.format("v")}, false) AS encoded_text FROM b""",
+    "gate_verdicts": f"SELECT id, coalesce(reason, 'accepted') AS verdict FROM ({VALUES}) x JOIN {_judged(f'SELECT value AS v FROM ({VALUES})', Gate())} j ON x.value = j.v",
+    "noise_funnel": f"""
+WITH {_STRUCTURAL}, g AS (SELECT unnest(regexp_extract_all(line, 'password=([^\\s"'',;}}{{)\\]]{{10,120}})', 1)) AS v FROM app),
+     j AS (SELECT g.v, reason FROM g JOIN {_judged("SELECT v FROM g", _gate_of("generic-secret-assignment"))} r ON g.v = r.v)
+SELECT rule_id, CASE WHEN {_p("secret")} THEN 'entropy' ELSE 'accepted' END AS outcome, CASE WHEN {_p("secret")} THEN 'placeholder-or-doc-example' ELSE '' END AS reason, count(*) AS candidates FROM hits GROUP BY 1, 2, 3
+UNION ALL SELECT 'generic-secret-assignment', CASE WHEN reason IS NULL THEN 'accepted' ELSE 'entropy' END, coalesce(reason, ''), count(*) FROM j GROUP BY 1, 2, 3""",
+    "match_cap": f"WITH app AS ({APP_LINES}), k AS (SELECT source, line_no, regexp_extract_all(line, '\\bAKIA[A-Z0-9]{{16}}\\b') AS keys FROM app WHERE contains(line, 'AKIA')) SELECT source, line_no, CAST(least(8, 10 * len(list_filter(keys, lambda x: NOT {_p('x')}))) AS BIGINT) AS accepted FROM k",
+    "overlap_collapse": f"""
+WITH app AS ({APP_LINES}), k AS (SELECT source, line_no, regexp_extract(line, 'ghp_[a-z0-9]+') AS secret FROM app WHERE contains(line, 'ghp_'))
+SELECT source, line_no, 'github-personal-access-token' AS rule_id, CASE WHEN reason IS NULL THEN 'also-matched:authorization-header-bearer' ELSE '' END AS absorbed
+FROM k JOIN {_judged("SELECT secret AS v FROM k", _gate_of("authorization-header-bearer"))} j ON k.secret = j.v WHERE NOT {_p("secret")}""",
 }
