@@ -1,20 +1,22 @@
-"""The command line: scan, redact, rules, version."""
+"""The command line: scan, redact, rules, selftest, benchmark, version."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import groups, redact, report
 from .operators.detect import Options
 from .operators.rules import SEVERITIES, RuleError, RuleSet, load_rules
-from .operators.scan import candidates, capped, findings
-from .sources.lines import parse_size, read_lines, resolve_inputs, source_kind
+from .operators.samples import NEGATIVES, SECRET_SHARE, made_up_log, positives, selftest
+from .operators.scan import candidates, capped, findings, screen_of, truncated_sources
+from .sources.lines import format_bytes, parse_size, peak_memory, read_lines, resolve_inputs, source_kind
 
 # What the process ends with.
 CLEAN, FOUND, FAILED = 0, 1, 2
@@ -55,7 +57,10 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--baseline")
     scan.add_argument("--write-baseline")
     scan.add_argument("--fail-on", choices=(*SEVERITIES, "none"), default="high")
-    scan.add_argument("--stats", action="store_true", help="adds how many candidates were rejected, and why")
+    scan.add_argument("--stats", action="store_true", help="adds lines, bytes, time, throughput, and how many candidates were rejected, and why")
+    scan.add_argument("--max-findings", type=int, default=Options.max_findings_per_source, help="of a source; the report says which sources had more")
+    scan.add_argument("--verbose", action="store_true", help="the evidence of each finding, too")
+    scan.add_argument("--quiet", action="store_true", help="one line for each finding, without a heading")
     masked = commands.add_parser("redact")
     _reading(masked)
     _selection(masked)
@@ -65,7 +70,17 @@ def parser() -> argparse.ArgumentParser:
         some = commands.add_parser(name)
         if name == "rules-show":
             some.add_argument("rule_id")
+        if name == "rules-list":
+            some.add_argument("--show-pattern", action="store_true")
+            some.add_argument("--write", help="a folder for Markdown pages of the rules")
         _selection(some)
+    tested = commands.add_parser("selftest")
+    tested.add_argument("--verbose", action="store_true")
+    timed = commands.add_parser("benchmark")
+    timed.add_argument("--size", type=parse_size, default=parse_size("256MB"))
+    timed.add_argument("--secret-ratio", type=float, default=SECRET_SHARE)
+    timed.add_argument("--keep", help="a folder in which the made-up log stays")
+    timed.add_argument("--decode-base64", action="store_true")
     commands.add_parser("version")
     return top
 
@@ -79,7 +94,7 @@ def rules_of(given: argparse.Namespace) -> RuleSet:
 
 
 def options_of(given: argparse.Namespace) -> Options:
-    return Options(structured=not given.no_structured, nested_json=not given.no_nested_json, decode_base64=given.decode_base64, max_line_bytes=given.max_line_bytes, min_confidence=given.min_confidence)
+    return Options(structured=not given.no_structured, nested_json=not given.no_nested_json, decode_base64=given.decode_base64, max_line_bytes=given.max_line_bytes, min_confidence=given.min_confidence, max_findings_per_source=getattr(given, "max_findings", Options.max_findings_per_source))
 
 
 def session() -> SparkSession:
@@ -102,10 +117,14 @@ def run_scan(given: argparse.Namespace) -> int:
 
     spark = session()
     with tempfile.TemporaryDirectory() as folder:
-        paths = _spooled(resolve_inputs(given.paths, not given.no_recursive, all_files=given.all_files), Path(folder))
+        paths, errors = readable(_spooled(resolve_inputs(given.paths, not given.no_recursive, all_files=given.all_files), Path(folder)))
+        began = time.monotonic()
         options = options_of(given)
-        tried = candidates(read_lines(spark, paths), rules_of(given), options).cache()
-        found = groups.group_findings(capped(findings(tried, options), options.max_findings_per_source)).cache()
+        lines, rules = read_lines(spark, paths), rules_of(given)
+        tried = candidates(read_lines(spark, paths, screen_of(rules, options)), rules, options).cache()
+        every = findings(tried, options).cache()
+        truncated = truncated_sources(every, options.max_findings_per_source)
+        found = groups.group_findings(capped(every, options.max_findings_per_source)).cache()
         hidden = 0
         if given.baseline:
             known = groups.read_baseline(spark, given.baseline)
@@ -113,21 +132,83 @@ def run_scan(given: argparse.Namespace) -> int:
             found = groups.new_groups(found, known).cache()
         if given.write_baseline:
             groups.write_baseline(found, given.write_baseline)
-        stats = {"suppressed_by_baseline": hidden}
+        stats = {"suppressed_by_baseline": hidden, "truncated": bool(truncated), "truncated_sources": truncated}
         if given.stats:
+            found.count()
+            stats |= scan_stats(lines, len(paths), time.monotonic() - began)
             rejected = groups.noise_funnel(tried).where("outcome != 'accepted'").groupBy("reason").agg(F.sum("candidates").alias("n")).orderBy(F.desc("n"), "reason").limit(20)
             stats["rejected"] = {r["reason"]: r["n"] for r in rejected.collect()}
         if given.format == "table":
-            text = report.to_table(found, show_secrets=given.show_secrets) + ("\n" + json.dumps(stats) if given.stats else "")
+            shown = report.to_lines if given.quiet else report.to_details if given.verbose else report.to_table
+            text = shown(found, show_secrets=given.show_secrets) + ("\n" + json.dumps(stats) if given.stats else "")
         elif given.format == "json":
-            text = report.to_json(found, paths, stats=stats, with_secret=given.show_secrets)
+            text = report.to_json(found, paths, errors, stats, given.show_secrets)
+        elif given.format == "sarif":
+            text = report.to_sarif(found, errors, given.show_secrets)
         else:
             text = report.export(found, given.format, with_secret=given.show_secrets)
+        for error in errors:
+            print(f"error: {error}", file=sys.stderr)
+        if truncated:
+            print(f"only the first {options.max_findings_per_source} findings of {', '.join(truncated)}", file=sys.stderr)
         if given.output:
             Path(given.output).write_text(text, encoding="utf-8")
         else:
             print(text)
-        return FOUND if groups.fails(found, given.fail_on) else CLEAN
+        return FAILED if errors else FOUND if groups.fails(found, given.fail_on) else CLEAN
+
+
+def readable(paths: list[str]) -> tuple[list[str], list[str]]:
+    """The local files that open, and what is wrong with the others; paths in other stores are left to Spark."""
+    good, errors = [], []
+    for path in paths:
+        try:
+            if "://" not in path:
+                with open(path, "rb"):
+                    pass
+            good.append(path)
+        except OSError as e:
+            errors.append(f"{path}: {e.strerror or e}")
+    return good, errors
+
+
+def scan_stats(lines: DataFrame, files: int, seconds: float) -> dict:
+    """Lines, bytes, time, throughput and the driver's peak memory of a scan."""
+    row = lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length("line").cast("long") + 1), F.lit(0)).alias("bytes")).first()
+    return {"files": files, "lines": row["lines"], "bytes_scanned": row["bytes"], "elapsed_seconds": round(seconds, 4), "throughput_mib_per_second": round(row["bytes"] / 2**20 / max(seconds, 1e-9), 2), "peak_rss_main": peak_memory()}
+
+
+def run_selftest(given: argparse.Namespace) -> int:
+    """All rules, the noisy ones too, on a sample each, and on lines without a secret."""
+    missed, wrong = selftest(session(), load_rules().select(enable_all=True))
+    print(f"found {len(positives()) - len(missed)}/{len(positives())}, clean {len(NEGATIVES) - len(wrong)}/{len(NEGATIVES)}")
+    for name in missed:
+        print(f"missed: {name}")
+    for text in wrong:
+        print(f"not clean: {text}")
+    if given.verbose:
+        print("\n".join(name for name in positives() if name not in missed))
+    return FOUND if missed or wrong else CLEAN
+
+
+def run_benchmark(given: argparse.Namespace) -> int:
+    """Writes a made-up log, and times a scan of it by the default rules."""
+    import tempfile
+
+    spark = session()
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{given.keep or folder}/made-up"
+        made_up_log(spark, given.size, given.secret_ratio).select("line").write.mode("overwrite").text(path)
+        lines = read_lines(spark, resolve_inputs([path], suffixes=(".txt",)))
+        began = time.monotonic()
+        rules, options = load_rules(), Options(decode_base64=given.decode_base64)
+        tried = candidates(read_lines(spark, resolve_inputs([path], suffixes=(".txt",)), screen_of(rules, options)), rules, options).cache()
+        found = groups.group_findings(findings(tried))
+        groups_found, hits = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("occurrences"), F.lit(0))).first()
+        stats = scan_stats(lines, 1, time.monotonic() - began)
+        print(f"{stats['throughput_mib_per_second']} MiB/s, {stats['elapsed_seconds']} s, {format_bytes(stats['bytes_scanned'])}, {stats['lines']} lines, driver's peak {format_bytes(stats['peak_rss_main'])}")
+        print(f"{groups_found} different secrets, {hits} times; {tried.count()} candidates")
+    return CLEAN
 
 
 def run_redact(given: argparse.Namespace) -> int:
@@ -146,8 +227,8 @@ def run_redact(given: argparse.Namespace) -> int:
     if not given.force and any(t.exists() for t in targets):
         raise ValueError("an output exists; --force replaces it")
     options = options_of(given)
-    lines = read_lines(spark, paths)
-    found = groups.group_findings(findings(candidates(lines, rules_of(given), options), options)).cache()
+    rules = rules_of(given)
+    found = groups.group_findings(findings(candidates(read_lines(spark, paths, screen_of(rules, options)), rules, options), options)).cache()
     by_source = {r["source"]: list(r["secrets"]) for r in redact.secrets_by_source(found).toLocalIterator()}
     folder.mkdir(parents=True, exist_ok=True)
     for path, target in zip(paths, targets, strict=True):
@@ -163,14 +244,17 @@ def main(arguments: list[str] | None = None) -> int:
             print(f"{report.TOOL} {report.VERSION}")
         elif given.command == "scan":
             return run_scan(given)
-        elif given.command == "redact":
-            return run_redact(given)
+        elif given.command in ("redact", "selftest", "benchmark"):
+            return {"redact": run_redact, "selftest": run_selftest, "benchmark": run_benchmark}[given.command](given)
         elif given.command == "rules-show":
             print(json.dumps(rules_of(given).get(given.rule_id).to_mapping(), indent=2))
         else:
             chosen = rules_of(given)
             for r in chosen.rules:
-                print(f"{r.id}  {r.severity}  {r.pack}  {'entropy' if r.gate.enabled else 'shape'}  {'on' if r.enabled else 'off'}  {r.name}")
+                print(f"{r.id}  {r.severity}  {r.pack}  {'entropy' if r.gate.enabled else 'shape'}  {'on' if r.enabled else 'off'}  {r.name}" + (f"  {r.pattern}" if getattr(given, "show_pattern", False) else ""))
+            for name, page in report.rule_catalogue(chosen).items() if getattr(given, "write", None) else ():
+                Path(given.write).mkdir(parents=True, exist_ok=True)
+                Path(given.write, name).write_text(page, encoding="utf-8")
             print(f"{len(chosen.rules)} rules, {len(chosen.enabled)} on, all valid")
     except (ValueError, FileNotFoundError, StopIteration) as e:
         print(f"error: {e or 'there is no such rule'}", file=sys.stderr)

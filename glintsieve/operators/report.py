@@ -105,6 +105,25 @@ def to_table(groups: DataFrame, rows: int = CONSOLE_ROWS, show_secrets: bool = F
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in cells)
 
 
+def to_lines(groups: DataFrame, rows: int = CONSOLE_ROWS, show_secrets: bool = False) -> str:
+    """A line for each of the first groups."""
+    shown = payload(ordered(groups), True).limit(rows).collect()
+    return "\n".join(f"{r['severity']} {r['rule_id']} {r['source']}:{r['line']}:{r['column']} {r['secret'] if show_secrets else r['secret_masked']}" for r in shown)
+
+
+def to_details(groups: DataFrame, rows: int = CONSOLE_ROWS, show_secrets: bool = False) -> str:
+    """The first groups with their evidence, context and further places."""
+    out = []
+    for r in payload(ordered(groups), True).limit(rows).collect():
+        facts = {
+            "where": r["context_summary"], "secret": r["secret"] if show_secrets else r["secret_masked"], "confidence": f"{r['confidence']} ({r['confidence_score']})",
+            "entropy": f"{r['entropy']} ({r['charset']})", "evidence": "; ".join(r["evidence"]), "context": ", ".join(f"{k}={v}" for k, v in sorted((r["cloud_context"] or {}).items()) if v),
+            "times": str(r["occurrences"]), "also at": ", ".join(r["sample_locations"]), "fingerprint": r["fingerprint"],
+        }
+        out.append("\n".join([f"{r['severity']}: {r['rule_name']} ({r['rule_id']})", *(f"  {k:<12}{v}" for k, v in facts.items() if v)]))
+    return "\n\n".join(out)
+
+
 def rule_catalogue(rules: RuleSet) -> dict[str, str]:
     """Markdown pages: an index, and one for each pack with its rules by id."""
     escaped = lambda text: str(text).replace("|", "\\|")

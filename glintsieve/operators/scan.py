@@ -24,14 +24,19 @@ _CANDIDATE = "rule_ord int, scope int, nth int, secret string, column int, exclu
 _FIELDS = list(Candidate.__dataclass_fields__)
 
 
-def screened(lines: DataFrame, rules: RuleSet, options: Options | None = None) -> DataFrame:
-    """The lines that some enabled rule may match."""
+def screen_of(rules: RuleSet, options: Options | None = None) -> Column:
+    """The condition on line that is true wherever some enabled rule may match."""
     options = options or Options()
     on = [r for r in rules.enabled if options.structured or not r.json_keys]
     pattern = screen_pattern(on, options.decode_base64)
     if not on:
-        return lines.where("false")
-    return lines.where(F.lower("line").rlike(pattern)) if pattern else lines.where("line != ''")
+        return F.lit(False)
+    return F.lower("line").rlike(pattern) if pattern else F.col("line") != ""
+
+
+def screened(lines: DataFrame, rules: RuleSet, options: Options | None = None) -> DataFrame:
+    """The lines that some enabled rule may match."""
+    return lines.where(screen_of(rules, options))
 
 
 def rule_table(lines: DataFrame, rules: RuleSet) -> DataFrame:
@@ -131,3 +136,8 @@ def capped(found: DataFrame, most: int) -> DataFrame:
     """The first findings of each source; the cap is a feature that keeps reports readable."""
     order = Window.partitionBy("source").orderBy("line_no", "ord", "rule_id")
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def truncated_sources(found: DataFrame, most: int) -> list[str]:
+    """The sources with more findings than the cap lets through; they are as few as such files."""
+    return [r["source"] for r in found.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy("source").select("source").collect()]

@@ -80,6 +80,16 @@ app AS ({APP_LINES}), hits AS (
 )
 """.replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}")
 
+# The first schema whose telling fields a JSON record has.
+_HAS = "(j -> '$.{0}') IS NOT NULL"
+_SCHEMA = "CASE " + " ".join(
+    f"WHEN {' AND '.join(f'({_HAS.format(x)})' if x[0] != '(' else x for x in fields)} THEN '{name}'"
+    for name, fields in (
+        ("aws-cloudtrail", ("eventVersion", "eventSource")), ("gcp-cloud-logging", ("logName", "insertId")), ("kubernetes-audit", ("(starts_with(j ->> '$.apiVersion', 'audit.k8s.io'))",)),
+        ("azure-activity-log", ("operationName", "resourceId")), ("elastic-common-schema", ('"@timestamp"', "(json_type(j, '$.event') = 'OBJECT')")), ("jvm-json-log", ("logger_name", "level")),
+    )
+) + " ELSE 'generic-json' END"
+
 _MASKED = "CASE WHEN length({0}) = 0 THEN '<empty>' WHEN length({0}) <= 10 THEN repeat('*', length({0})) || ' (len=' || length({0}) || ')' ELSE left({0}, 4) || repeat('*', least(length({0}) - 8, 8)) || right({0}, 4) || ' (len=' || length({0}) || ')' END"
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,17 +117,24 @@ SELECT id, {_p("value")} AS placeholder, regexp_full_match(value, '[0-9a-fA-F]{{
        regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}') AS timestamp, regexp_full_match(value, '[0-9.,:+-]+') AS numeric FROM ({VALUES})""",
     "masks": f"SELECT id, {_MASKED.format('value')} AS masked, substr(sha256('some-rule' || chr(0) || value), 1, 16) AS fingerprint FROM ({VALUES})",
     "json_leaves": f"SELECT event_id, replace(substr(fullkey, 3), chr(34), '') AS path, atom ->> '$' AS value FROM (SELECT line_no AS event_id, t.* FROM ({CLOUD_LINES}) c, json_tree(c.line) t) WHERE type = 'VARCHAR' UNION ALL SELECT line_no, 'body.signing_key', md5(CAST(line_no AS STRING)) FROM ({CLOUD_LINES}) WHERE line_no % 7 = 6",
-    "schema_counts": "SELECT CASE event_id % 7 WHEN 0 THEN 'aws-cloudtrail' WHEN 1 THEN 'gcp-cloud-logging' WHEN 2 THEN 'kubernetes-audit' WHEN 3 THEN 'azure-activity-log' WHEN 4 THEN 'elastic-common-schema' WHEN 5 THEN 'jvm-json-log' ELSE 'generic-json' END AS schema, count(*) AS n FROM events GROUP BY 1",
-    "cloud_contexts": """
-SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'AWS IAM User (user' || user_id || ')' WHEN 1 THEN 'GCP Principal (u' || user_id || '@example.org)' WHEN 2 THEN 'K8s User (user' || user_id || ')' WHEN 3 THEN 'Azure Identity (user' || user_id || ')'
-         WHEN 5 THEN 'MDC user (user' || user_id || ')' ELSE 'User (user' || user_id || ')' END AS actor,
-       CASE event_id % 7 WHEN 2 THEN event_type || ' pods' WHEN 5 THEN NULL ELSE event_type END AS action FROM events""",
+    "schema_counts": f"WITH r AS (SELECT CAST(line AS JSON) AS j FROM ({CLOUD_LINES})) SELECT {_SCHEMA} AS schema, count(*) AS n FROM r GROUP BY 1",
+    "cloud_contexts": f"""
+WITH r AS (SELECT line_no AS event_id, CAST(line AS JSON) AS j FROM ({CLOUD_LINES})), s AS (SELECT *, {_SCHEMA} AS schema FROM r)
+SELECT event_id,
+       CASE schema WHEN 'aws-cloudtrail' THEN 'AWS IAM User (' || (j ->> '$.userIdentity.userName') || ')' WHEN 'gcp-cloud-logging' THEN 'GCP Principal (' || (j ->> '$.protoPayload.authenticationInfo.principalEmail') || ')'
+         WHEN 'kubernetes-audit' THEN 'K8s User (' || (j ->> '$.user.username') || ')' WHEN 'azure-activity-log' THEN 'Azure Identity (' || (j ->> '$.caller') || ')' WHEN 'jvm-json-log' THEN 'MDC user (' || (j ->> '$.mdc.userId') || ')'
+         WHEN 'elastic-common-schema' THEN 'User (' || (j ->> '$.user.name') || ')' ELSE 'User (' || (j ->> '$.user') || ')' END AS actor,
+       CASE schema WHEN 'aws-cloudtrail' THEN j ->> '$.eventName' WHEN 'gcp-cloud-logging' THEN j ->> '$.protoPayload.methodName' WHEN 'kubernetes-audit' THEN (j ->> '$.verb') || ' ' || (j ->> '$.objectRef.resource')
+         WHEN 'azure-activity-log' THEN j ->> '$.operationName' WHEN 'elastic-common-schema' THEN j ->> '$.event.action' WHEN 'generic-json' THEN j ->> '$.action' END AS action FROM s""",
     "keyed_rule_hits": f"""
 WITH s AS (SELECT event_id, md5(CAST(event_id AS STRING)) AS secret FROM events)
 SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'requestParameters.password' WHEN 1 THEN 'protoPayload.request.token' WHEN 2 THEN 'annotations.secret' WHEN 3 THEN 'properties.client_secret' WHEN 4 THEN 'labels.api_key' WHEN 5 THEN 'mdc.passphrase' ELSE 'body.signing_key' END AS json_path, secret
 FROM s WHERE NOT {_p("secret")} AND {_ENTROPY.format("secret")} >= 3.2""",
     "vendor_prefixes": f"WITH {_STRUCTURAL} SELECT source, line_no, rule_id, secret, col AS column FROM named",
-    "keyword_required": "SELECT CASE o_orderkey % 50 WHEN 4 THEN 'accepted' ELSE 'keyword' END AS outcome, CASE o_orderkey % 50 WHEN 4 THEN NULL ELSE 'missing-required-keyword' END AS reason, count(*) AS n FROM orders WHERE o_orderkey % 50 = 4 GROUP BY 1, 2",
+    "keyword_required": f"""
+WITH app AS ({APP_LINES}), h AS (SELECT line, unnest(regexp_extract_all(line, '\\bAC[0-9a-fA-F]{{32}}\\b')) AS secret FROM app WHERE regexp_matches(lower(line), 'twilio|auth_token|account_sid')),
+     w AS (SELECT regexp_matches(lower(substr(line, greatest(1, instr(line, secret) - 96), 96 + length(secret))), 'twilio|auth_token|account_sid') AS near, {_p("secret")} AS placeholder FROM h)
+SELECT CASE WHEN NOT near THEN 'keyword' WHEN placeholder THEN 'entropy' ELSE 'accepted' END AS outcome, CASE WHEN NOT near THEN 'missing-required-keyword' WHEN placeholder THEN 'placeholder-or-doc-example' END AS reason, count(*) AS n FROM w GROUP BY 1, 2""",
     "database_uris": f"WITH s AS (SELECT CAST(o_orderkey AS BIGINT) AS line_no, substr(md5(CAST(o_orderkey AS STRING)), 1, 14) AS secret FROM orders WHERE o_orderkey % 50 = 2) SELECT line_no, secret FROM s WHERE NOT {_p('secret')} AND NOT regexp_full_match(secret, '[0-9]+') AND {_ENTROPY.format('secret')} >= 1.8 AND len(list_distinct(string_split(secret, ''))) / 14.0 >= 0.35",
     "document_secrets": f"""
 WITH l AS ({_LINES}), h AS (SELECT source, line_no, unnest(regexp_extract_all(line, '(?i)token = "([0-9a-f]{{40}})"', 1)) AS secret FROM l)
@@ -130,7 +147,7 @@ SELECT fingerprint, coalesce(string_agg(place, ',' ORDER BY n) FILTER (n BETWEEN
     "baseline_new": f"WITH {_STRUCTURAL} SELECT DISTINCT fingerprint, rule_id FROM named WHERE rule_id != 'mailgun-api-key'",
     "baseline_known": f"WITH {_STRUCTURAL} SELECT DISTINCT fingerprint, rule_id FROM named WHERE rule_id = 'mailgun-api-key'",
     "per_source_cap": f"WITH {_STRUCTURAL} SELECT source, line_no FROM (SELECT source, line_no, row_number() OVER (PARTITION BY source ORDER BY line_no) AS n FROM named WHERE rule_id = 'github-personal-access-token') WHERE n <= 5",
-    "base64_layer": f"WITH {_STRUCTURAL} SELECT source, line_no, secret, 'base64' AS encoding, CAST(9 AS BIGINT) AS column FROM named WHERE rule_id = 'github-personal-access-token'",
+    "base64_layer": f"WITH {_STRUCTURAL} SELECT source, line_no, secret, 'base64' AS encoding, CAST(instr('payload ' || to_base64(CAST(line AS BLOB)), to_base64(CAST(line AS BLOB))) AS BIGINT) AS column FROM hits WHERE rule_id = 'github-personal-access-token' AND NOT {_p('secret')}",
     "redact_lines": f"WITH {_STRUCTURAL}, t AS (SELECT source, line_no, any_value(secret) AS secret FROM named WHERE rule_id = 'github-personal-access-token' GROUP BY 1, 2) SELECT a.source, a.line_no, CASE WHEN t.secret IS NULL THEN a.line ELSE replace(a.line, t.secret, {_MASKED.format('t.secret')}) END AS line FROM app a LEFT JOIN t ON a.source = t.source AND a.line_no = t.line_no",
     "redact_counts": f"WITH {_STRUCTURAL} SELECT source, CAST(count(*) FILTER (contains(line, ' ghp_')) AS BIGINT) AS masked FROM app GROUP BY source",
     "container_lines": f"""
@@ -157,4 +174,6 @@ UNION ALL SELECT 'generic-secret-assignment', CASE WHEN reason IS NULL THEN 'acc
 WITH app AS ({APP_LINES}), k AS (SELECT source, line_no, regexp_extract(line, 'ghp_[a-z0-9]+') AS secret FROM app WHERE contains(line, 'ghp_'))
 SELECT source, line_no, 'github-personal-access-token' AS rule_id, CASE WHEN reason IS NULL THEN 'also-matched:authorization-header-bearer' ELSE '' END AS absorbed
 FROM k JOIN {_judged("SELECT secret AS v FROM k", _gate_of("authorization-header-bearer"))} j ON k.secret = j.v WHERE NOT {_p("secret")}""",
+    # Every built-in rule, by its name, on its sample.
+    "rule_samples": "SELECT rule_id, CAST(1 AS BIGINT) AS samples FROM (VALUES " + ", ".join(f"('{r.id}')" for r in load_rules().rules) + ") t(rule_id)",
 }

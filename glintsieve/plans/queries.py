@@ -15,6 +15,7 @@ from ..functions.gate import Gate
 from ..operators import groups, leaves, redact, report
 from ..operators.detect import Options
 from ..operators.rules import RuleSet, load_rules
+from ..operators.samples import NEGATIVES, positives
 from ..operators.scan import candidates, findings, scan, screened
 from ..sources.containers import reassemble
 from ..sources.lines import table_lines
@@ -268,6 +269,14 @@ def screen_keeps_findings(spark, sf_dir):
     return findings(candidates(lines, rules)).join(kept, ["source", "line_no"], "left_anti").groupBy("rule_id").agg(F.count(F.lit(1)).alias("lost"))
 
 
+def rule_samples(spark, sf_dir):
+    """The rule that is found on its sample, for every built-in rule; and nothing on the lines without a secret."""
+    texts = [("sample", name, text) for name, text in positives().items()] + [("clean", str(i), t) for i, t in enumerate(NEGATIVES)]
+    lines = spark.createDataFrame([(f"{kind}/{name}", 1, 0, text) for kind, name, text in texts], "source string, line_no long, byte_offset long, line string")
+    found = scan(lines, load_rules().select(enable_all=True)).select("source", F.explode(F.concat(F.array("rule_id"), F.transform("evidence", lambda e: F.regexp_extract(e, r"\Aalso-matched:(.*)", 1)))).alias("rule_id"))
+    return found.where(F.col("rule_id") == F.regexp_extract("source", r"/(.*)", 1)).groupBy("rule_id").agg(F.countDistinct("source").alias("samples")).unionByName(found.where("source like 'clean/%'").groupBy("rule_id").agg(F.count(F.lit(1)).alias("samples")))
+
+
 def stream_scan(spark, sf_dir):
     """Groups of a stream over the order lines; the folders are in the warehouse, which all machines share."""
     from ..streaming.stream import scan_stream, stream_groups
@@ -284,6 +293,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_lines, line_offsets, entropy_profile, charset_distribution, word_likeness, runs, value_shapes, encoded_text, masks, gate_verdicts, json_leaves, schema_counts, cloud_contexts,
         keyed_rule_hits, vendor_prefixes, keyword_required, database_uris, document_secrets, noise_funnel, groups_by_fingerprint, top_groups, sample_locations, severity_counts, baseline_new, baseline_known,
-        per_source_cap, match_cap, overlap_collapse, base64_layer, redact_lines, redact_counts, container_lines, rule_packs, csv_report, sarif_report, all_rules_groups, screen_keeps_findings, stream_scan,
+        per_source_cap, match_cap, overlap_collapse, base64_layer, redact_lines, redact_counts, container_lines, rule_packs, csv_report, sarif_report, all_rules_groups, screen_keeps_findings, stream_scan, rule_samples,
     )
 }

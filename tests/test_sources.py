@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glintsieve import cli
 from glintsieve.operators.rules import load_rules
 from glintsieve.sources.containers import as_record, parse_record, reassemble
-from glintsieve.sources.lines import parse_size, read_lines, resolve_inputs, source_kind, table_lines
+from glintsieve.sources.lines import format_bytes, parse_size, peak_memory, read_lines, resolve_inputs, source_kind, table_lines
 from glintsieve.streaming.stream import reassemble_stream, scan_stream, stream_groups
 
 from samples import positives
@@ -39,12 +39,14 @@ def test_lines_and_offsets(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "15000")
     try:
         rows = read_lines(spark, list(want)).orderBy("source", "line_no").collect()
+        kept = read_lines(spark, list(want), F.col("line").rlike("[27x]")).orderBy("source", "line_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     got = {}
     for r in rows:
         got.setdefault(r.source, []).append((r.line_no, r.byte_offset, bytes(r.raw)))
     assert got == want
+    assert kept == [r for r in rows if set(r.line) & set("27x")] and len(kept) > 1000
 
 
 def test_empty_file_and_several(spark, tmp_path):
@@ -145,3 +147,42 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["rules-show", "mailgun-api-key"]) == cli.CLEAN and cli.main(["rules-show", "nope"]) == cli.FAILED
     assert cli.main(["scan", str(log), "--include-rule", "nope"]) == cli.FAILED
     assert cli.main(["version"]) == cli.CLEAN
+    capsys.readouterr()
+    log.write_text(f"start {key}\n{positives(3)['github-personal-access-token']}\n")
+    (tmp_path / "folder.log").mkdir()
+    assert cli.main(["scan", str(log), "--max-findings", "1", "--format", "json", "--stats"]) == cli.FOUND
+    told = capsys.readouterr()
+    stats = json.loads(told.out)["stats"]
+    assert stats["truncated_sources"] == [str(log)] and stats["lines"] == 2 and stats["bytes_scanned"] == log.stat().st_size and "only the first 1" in told.err
+    assert cli.main(["scan", str(log), "--quiet"]) == cli.FOUND and len(capsys.readouterr().out.splitlines()) == 2
+    assert cli.main(["scan", str(log), "--verbose"]) == cli.FOUND and "fingerprint" in capsys.readouterr().out
+    assert cli.main(["rules-list", "--pack", "aws", "--show-pattern", "--write", str(tmp_path / "pages")]) == cli.CLEAN and "AKIA|ASIA" in capsys.readouterr().out
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir()) == ["aws.md", "index.md"]
+    assert cli.main(["selftest"]) == cli.CLEAN and "found 66/66" in capsys.readouterr().out
+    assert cli.main(["benchmark", "--size", "256k", "--secret-ratio", "0.01"]) == cli.CLEAN and "MiB/s" in capsys.readouterr().out
+
+
+def test_unreadable_inputs_are_reported(spark, tmp_path, capsys, monkeypatch):
+    log = tmp_path / "x.log"
+    log.write_text("a " + positives()["github-personal-access-token"])
+    monkeypatch.setattr(cli, "resolve_inputs", lambda paths, *a, **k: [*paths, str(tmp_path / "gone.log")])
+    assert cli.main(["scan", str(log), "--format", "json"]) == cli.FAILED
+    told = capsys.readouterr()
+    made = json.loads(told.out)
+    assert len(made["findings"]) == 1 and "gone.log" in made["summary"]["errors"][0] and "gone.log" in told.err
+
+
+def test_made_up_log(spark):
+    from glintsieve.operators.samples import made_up_log, placeholder_text
+
+    rows = made_up_log(spark, 400_000, 0.01).collect()
+    assert abs(sum(len(r.line) + 1 for r in rows) / 400_000 - 1) < 0.25
+    assert 0.3 < sum(r.line.startswith("{") for r in rows) / len(rows) < 0.5
+    assert made_up_log(spark, 400_000, 0.01).collect() == rows
+    text = placeholder_text("key {hex:40} and {other} {b64:x}")
+    assert len(text) == len("key  and {other} {b64:x}") + 40 and "{hex" not in text
+
+
+def test_sizes_for_people():
+    assert [format_bytes(x) for x in (0, 1023, 1024, 5 * 2**20, 3 * 2**40, None)] == ["0 B", "1023 B", "1.0 KiB", "5.0 MiB", "3.0 TiB", "unknown"]
+    assert peak_memory() is None or peak_memory() > 2**20
