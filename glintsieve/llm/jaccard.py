@@ -560,13 +560,15 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int
     several = cut(ids.where("some and rows > 1").select(F.col("doc_id").alias("_id")))
     few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     same = F.col("doc_id").cast("long") == F.col("_id")
-    wordless = F.coalesce(F.length(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]", "")) == 0, F.lit(True))
+    wordless = F.coalesce(~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     kept = docs.join(few(gone.unionByName(several)), same, "left_anti").where(F.col("doc_id").isNotNull() | wordless)
     odd = docs.where("doc_id is null")
     if not several.isEmpty():
         odd = odd.unionByName(docs.join(few(several), same, "left_semi"))
     # Wordless rows of ids whose other rows go are back, too.
-    kept = kept.unionByName(docs.join(few(gone), same, "left_semi").where(wordless))
+    alone = cut(linked.rows.where("h1 is null").select(F.col("doc_id").alias("_id")).join(gone, "_id", "left_semi").distinct())
+    if not alone.isEmpty():
+        kept = kept.unionByName(docs.join(few(alone), same, "left_semi").where(wordless))
 
     @F.pandas_udf("h1 long, h2 long")
     def digest(texts: pd.Series) -> pd.DataFrame:
