@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Words of one window.
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -179,6 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,end:int>>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()  # what tasks before this one have left in the worker
         for batch in texts:
             rows = []
             for text in batch:
@@ -192,6 +195,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 names = ",".join(sorted(found))
                 rows.append((len(words), n_hit, len(found), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and coverage * n_hit >= len(words), [{"first": a, "end": b} for a, b in spans_of(hit)] if n_hit else []))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            del rows, batch
+        give_back()
 
     return docs.withColumn(out_col, judge(F.col(text_col).cast("string")))
 

@@ -169,6 +169,7 @@ def identify(docs: DataFrame, model: LanguageModel, out_col: str = "language") -
 
     @F.pandas_udf("lang_pred string, score double, fits boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()  # what tasks before this one have left in the worker
         own = shared.value
         try:
             for batch in texts:

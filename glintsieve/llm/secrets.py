@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "net")
@@ -310,6 +310,7 @@ def scan_documents(docs: DataFrame, net: CharacterNetwork | None, out_col: str =
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()  # what tasks before this one have left in the worker
         own = shared.value
         for batch in texts:
             rows = []
@@ -319,5 +320,7 @@ def scan_documents(docs: DataFrame, net: CharacterNetwork | None, out_col: str =
                 row = [*(sum(s.kind == k for s in base) for k in KINDS[:3]), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)]
                 rows.append([*row, redact_text(text, spans) if text else text] if redact else row)
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"] + ["redacted"] * redact)
+            del rows, batch
+        give_back()
 
     return docs.withColumn(out_col, scan(F.col("text").cast("string")))
