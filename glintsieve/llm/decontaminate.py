@@ -165,13 +165,14 @@ def automata(benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text_col: str = "text", out_col: str = "contamination") -> DataFrame:
-    """``docs`` with a struct ``out_col``: n_words, n_hit, n_items, items_sha256, contaminated, spans.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text_col: str = "text", out_col: str = "contamination", remove: bool = False) -> DataFrame:
+    """``docs`` with a struct ``out_col``: n_words, n_hit, n_items, items_sha256, contaminated, spans, and cleaned if ``remove``.
 
     A window is ``window`` consecutive words of an item, or a shorter item as a whole.
     ``n_hit`` counts words inside any occurrence of a window, ``n_items`` the items
     with one, and ``spans`` are the runs of hit words, as word numbers from 0, end
     exclusive.  ``contaminated``: some word is hit, and ``coverage`` * n_hit >= n_words.
+    ``cleaned`` is the text without its spans, as it was if there are none.
 
     Null and empty texts have no words and are not contaminated.  All columns of
     ``docs`` stay (one named like ``out_col`` is replaced); repeated rows are judged
@@ -179,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """
     shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window)]
 
-    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,end:int>>")
+    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,end:int>>" + ", cleaned string" * remove)
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         give_back()  # what tasks before this one have left in the worker
         for batch in texts:
@@ -193,8 +194,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                     found |= ids
                 n_hit = int(hit.sum())
                 names = ",".join(sorted(found))
-                rows.append((len(words), n_hit, len(found), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and coverage * n_hit >= len(words), [{"first": a, "end": b} for a, b in spans_of(hit)] if n_hit else []))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+                spans = spans_of(hit) if n_hit else []
+                row = (len(words), n_hit, len(found), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and coverage * n_hit >= len(words), [{"first": a, "end": b} for a, b in spans])
+                rows.append((*row, remove_spans(text, spans) if spans else text) if remove else row)
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"] + ["cleaned"] * remove)
             del rows, batch
         give_back()
 
