@@ -6,7 +6,6 @@ the columns of documents.  ``run`` applies them to the table of documents.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words lies in windows of test items, and cuts such windows out of all others."""
     own = unused(docs, "contamination")
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out_col=own)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([decontaminate.remove_spans(t, [(s["first"], s["end"]) for s in found]) if len(found) else t for t, found in zip(texts, spans, strict=True)], dtype=object)
-
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out_col=own, remove=True)
     kept = judged.where(~F.col(own)["contaminated"])
     hit = F.col(own)["n_hit"] > 0
-    changed = {"text": F.when(hit, without(F.col("text"), F.col(own)["spans"])).otherwise(F.col("text"))}
+    changed = {"text": F.col(own)["cleaned"]}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(hit, F.length(changed["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumns(changed).select(*docs.columns)
