@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Words, and runs of letters, in each of the two generations of a Python worker's caches.
-CACHED_WORDS, CACHED_RUNS = 120_000, 200_000
+CACHED_WORDS, CACHED_RUNS = 100_000, 150_000
 
 # Letters beyond ASCII that lower-casing and canonical composition keep single.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
