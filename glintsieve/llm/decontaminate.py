@@ -201,7 +201,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
             del rows, batch
         give_back()
 
-    return docs.withColumn(out_col, judge(F.col(text_col).cast("string")))
+    # Called nondeterministic, it runs once even where a filter on its result comes before other uses of it; else a task
+    # would run it twice, in two Python workers.
+    return docs.withColumn(out_col, judge.asNondeterministic()(F.col(text_col).cast("string")))
 
 
 def remove_spans(text: str | None, spans: Iterable[tuple[int, int]]) -> str | None:
