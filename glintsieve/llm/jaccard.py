@@ -577,7 +577,8 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int
         return pd.DataFrame({"h1": pd.array([a for a, _ in names], "Int64"), "h2": pd.array([b for _, b in names], "Int64")})
 
     told = unused(docs, "set")
-    odd = odd.withColumn(told, digest(F.col("text").cast("string")))
+    # Called nondeterministic, it runs once for the filter on its result and the key together; else in two Python workers a task.
+    odd = odd.withColumn(told, digest.asNondeterministic()(F.col("text").cast("string")))
     key = [F.col("doc_id").cast("long").alias("k0"), F.col(f"{told}.h1").alias("k1"), F.col(f"{told}.h2").alias("k2")]
     whole = F.struct(*[F.col(c) for c in docs.columns])
     one = odd.where(F.col(f"{told}.h1").isNotNull()).groupBy(*key).agg(F.min_by(whole, "text").alias("row"))
