@@ -22,10 +22,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from . import linking
+from .common import cut, partitions
+from .graph import HOT_SHARE, join_hot
 
 SEGMENT = 2048
 #: Steps of one segment's walk: two for each character on average, and a margin.
@@ -35,8 +38,8 @@ SAMPLES = 256
 SMALLEST = 64
 #: Segments that are walked side by side.
 SIDE_BY_SIDE = 4096
-#: Bands, and sampled places in each, for candidates.
-BANDS, BAND_PLACES = 32, 6
+#: Bands of each grid, and sampled places in each, for candidates.
+BANDS, BAND_PLACES = 12, 7
 #: Symbols of a fingerprint; the first stands for a place beyond the text's end.
 ALPHABET = ".0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-"
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
@@ -166,49 +169,135 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), of(text).alias("fingerprint"))
 
 
-def near_documents(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """Banding and verification: (fingerprint, near_fingerprint, likeness) between different fingerprints.
+@lru_cache(1)
+def _band_orders() -> np.ndarray:
+    """For each band the order in which it looks for places."""
+    draw = np.random.default_rng(20240303)
+    return np.array([draw.permutation(SAMPLES) for _ in range(BANDS)])
+
+
+def print_digest(fingerprint: str) -> tuple[int, int]:
+    """A 128-bit digest of a fingerprint, as two signed numbers."""
+    one, two = np.frombuffer(xxhash.xxh3_128_digest(fingerprint.encode()), np.int64).tolist()
+    return one, two
+
+
+class Prints:
+    """Texts compared by the likeness of their fingerprints, ``least`` or more; empty texts link with nothing."""
+
+    dtype = np.dtype(np.uint8)
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def forms(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        made = fingerprints([t or "" for t in texts])
+        return [np.frombuffer(f.encode() if t else b"", np.uint8) for f, t in zip(made, texts, strict=True)]
+
+    def digest(self, form: np.ndarray) -> tuple[int, int]:
+        return print_digest(form.tobytes().decode())
+
+    def keys(self, form: np.ndarray) -> np.ndarray:
+        """For each band of either grid a hash of the first places in the band's order that lie in the text, and of what is there.
+
+        So texts of nearly one length look at the same places, however little of a grid they fill.
+        """
+        scale, *grids = form.tobytes().split(b":")
+        orders, keys = _band_orders(), []
+        for at, grid in enumerate(grids):
+            samples = np.frombuffer(grid, np.uint8)
+            inside = samples != _LETTERS[0]
+            count = min(BAND_PLACES, int(inside.sum()))
+            if not count:
+                continue
+            first = np.argsort(~inside[orders], axis=1, kind="stable")[:, :count]
+            places = np.take_along_axis(orders, first, 1)
+            rows = np.concatenate((places.astype(np.uint8), samples[places]), 1)
+            keys += [xxhash.xxh3_64_intdigest(row.tobytes(), seed=(int(scale) + at) * BANDS + n) for n, row in enumerate(rows)]
+        return np.array(keys, np.uint64)
+
+    def firsts(self, forms: Sequence[np.ndarray], sides: Sequence[int], known: Sequence[int]) -> list[int]:
+        count, names = len(forms), sorted(set(sides))
+        linked = np.zeros((count, count), bool)
+        members = [[i for i, s in enumerate(sides) if s == name] for name in names]
+        for i, j, near in self._near(forms, members[0], members[-1]):
+            linked[np.ix_(i, j)] |= near
+            linked[np.ix_(j, i)] |= near.T
+        labels = np.array(known)
+        linked |= labels[:, None] == labels[None, :]
+        firsts = [-1] * count
+        for i in range(count):
+            reached = [i] if firsts[i] < 0 else []
+            while reached:
+                at = reached.pop()
+                if firsts[at] < 0:
+                    firsts[at] = i
+                    reached += [j for j in np.flatnonzero(linked[at]).tolist() if firsts[j] < 0]
+        return firsts
+
+    def _near(self, forms: Sequence[np.ndarray], ones: list[int], others: list[int]) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
+        """Rows, columns, and whether these are near, for the grids that they share; as ``likeness`` says."""
+        parts = [form.tobytes().split(b":") for form in forms]
+        scales = [int(p[0]) for p in parts]
+        grid = lambda chosen, which: np.frombuffer(b"".join(parts[i][which] for i in chosen), np.uint8).reshape(-1, SAMPLES)
+        of = lambda chosen, scale: [i for i in chosen if scales[i] == scale]
+        for s in sorted({scales[i] for i in ones}):
+            mine = of(ones, s)
+            for t, which, other_which in ((s, 1, 1), (s - 1, 1, 2), (s + 1, 2, 1)):
+                if theirs := of(others, t):
+                    two = grid(theirs, other_which)
+                    near = np.empty((len(mine), len(theirs)), bool)
+                    for row, one in enumerate(grid(mine, which)):
+                        some = (one != _LETTERS[0]) | (two != _LETTERS[0])
+                        n = some.sum(axis=1)
+                        share = np.where(n > 0, ((one == two) & some).sum(axis=1) / np.maximum(n, 1), 1.0)
+                        near[row] = np.maximum(0.0, (share - CHANCE) / (1 - CHANCE)) >= self.least
+                    yield mine, theirs, near
+
+    def done(self) -> None:
+        """Nothing is kept."""
+
+
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(h1, h2, n, near_class) for each distinct fingerprint that is near another one.
+
+    Banding and verification: fingerprints that share a band's places meet, exactly and
+    however many share them, and those of ``least`` likeness or more are linked.
+    h1 and h2 are ``print_digest`` of the fingerprint and n its number of rows;
+    near_class is the least h1 that links reach.  Null and empty texts, repeated rows
+    and copies link with nothing; an empty table gives no rows; other columns are ignored.
+    Two texts of one scale meet with a chance of 0.998 at a likeness of 0.8, and of
+    neighbouring scales, which share one grid only, of 0.96; links in a row join classes, too.
+    """
+    linked = linking.linked_classes(docs, Prints(least), through_ids=False).classes
+    least_of = cut(linked.groupBy("component").agg(F.min("h1").alias("near_class"), F.count(F.lit(1)).alias("prints")).where("prints > 1"))
+    return cut(join_hot(linked, least_of, ["component"], max(1, linked.count()), "prints").select("h1", "h2", "n", "near_class"))
+
+
+def edited_and_near(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of ``next_and_edited`` with near_class: the same number for equal fingerprints and all that links join.
 
-    ``prints`` has fingerprint.  Equal fingerprints are one class, so copies add
-    nothing.  Each class is compared with the least fingerprint of each of its bands
-    and, in turn, with the one before it there: a chain of links through each band,
-    as many as it has members and never all pairs.  Bands are found with a probability
-    that grows with likeness; the verification is exact on the samples.
+    It is the least first half of ``print_digest`` among a class's fingerprints, and
+    null for a null or empty text.  Classes of several fingerprints are broadcast up to
+    ``linking.BROADCAST_ROWS``; beyond, they are joined by shuffle, and texts with very
+    many copies by a broadcast of theirs alone.
     """
-    places = np.random.default_rng(20240303).choice(SAMPLES, (BANDS, BAND_PLACES))
-
-    @F.pandas_udf("array<string>")
-    def bands(batch: pd.Series) -> pd.Series:
-        out = []
-        for one in batch:
-            scale, *grids = one.split(":")
-            keys = []
-            for at, grid in enumerate(grids):
-                for n, band in enumerate(places.tolist()):
-                    key = "".join(grid[p] for p in band)
-                    if key.strip("."):
-                        keys.append(f"{int(scale) + at}/{n}/{key}")
-            out.append(keys)
-        return pd.Series(out)
-
-    @F.pandas_udf("double")
-    def verify(ones: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([likeness(a, b) for a, b in zip(ones, others, strict=True)])
-
-    classes = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    spread = classes.select("fingerprint", F.explode(bands("fingerprint")).alias("band"))
-    # The salt splits a band that very many share; the least of each salt meet in a second round.
-    spread = spread.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(8)))
-    inside = Window.partitionBy("band", "salt").orderBy("fingerprint")
-    ranked = spread.withColumn("least", F.min("fingerprint").over(inside)).withColumn("prior", F.lag("fingerprint").over(inside))
-    heads = ranked.where("prior is null").select("band", F.col("least").alias("fingerprint"))
-    across = heads.withColumn("prior", F.lag("fingerprint").over(Window.partitionBy("band").orderBy("fingerprint")))
-    pairs = ranked.select("fingerprint", F.col("least").alias("near_fingerprint")).unionByName(ranked.select("fingerprint", F.col("prior").alias("near_fingerprint"))).unionByName(across.select("fingerprint", F.col("prior").alias("near_fingerprint")))
-    pairs = pairs.where("near_fingerprint < fingerprint").distinct()
-    return pairs.withColumn("likeness", verify("fingerprint", "near_fingerprint")).where(F.col("likeness") >= least)
-
-
-def next_and_edited(docs: DataFrame) -> DataFrame:
+    near, rows = near_classes(docs, least), next_and_edited(docs, digests=True)
+    out = [c for c in rows.columns if c not in ("h1", "h2")]
+    if near.count() <= linking.BROADCAST_ROWS:
+        found = rows.join(F.broadcast(near.drop("n")), ["h1", "h2"], "left")
+        return found.select(*out, F.coalesce("near_class", "h1").alias("near_class"))
+    often = max(1, near.agg(F.sum("n")).first()[0] // (HOT_SHARE * partitions(docs.sparkSession)))
+    hot = near.where(F.col("n") > often).select("h1", "h2", F.col("near_class").alias("hot_class"))
+    found = rows.join(F.broadcast(hot), ["h1", "h2"], "left")
+    # Rows that are done get keys that match nothing and differ by document, so no task gets all of them.
+    spread = F.when(F.col("h1").isNotNull() & F.col("hot_class").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "edited_sha256"))
+    rest = near.where(F.col("n") <= often).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "near_class")
+    found = found.withColumn("spread", spread).join(rest, (F.col("spread") == rest["k1"]) & (F.col("h2") == rest["k2"]), "left")
+    return found.select(*out, F.coalesce("hot_class", "near_class", "h1").alias("near_class"))
+
+
+def next_and_edited(docs: DataFrame, digests: bool = False) -> DataFrame:
     """For each document its own and its edited text's fingerprint, and their likeness.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -216,7 +305,8 @@ def next_and_edited(docs: DataFrame) -> DataFrame:
     down) replaced by as many first characters of the next document by doc_id, or all
     it has; after the last comes the first.  A null text counts as empty.  Of rows with
     the same doc_id the order is that of a hash of their texts, and a null doc_id comes
-    before all others.  A single row is its own next.  Other columns are ignored.
+    before all others.  A single row is its own next.  Other columns are ignored.  With
+    ``digests``, h1 and h2 are ``print_digest`` of the fingerprint, null for an empty text.
 
     Documents are dealt out by ranges of doc_id and sorted there; the first document
     of each range is sent to the range before it as well, so each task sees the next
@@ -243,7 +333,7 @@ def next_and_edited(docs: DataFrame) -> DataFrame:
     places = F.when(F.col("before").isNull(), F.array(place("bucket", 0))).otherwise(F.array(place("bucket", 0), place("before", 1)))
     sent = sent.withColumn("at", F.explode(places)).select("at.bucket", "doc_id", "at.halo", "text", "key", "tie")
     dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "halo", "key", "tie")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int | None, int, str]] = []  # bucket, doc_id, halo, text
@@ -268,6 +358,8 @@ def next_and_edited(docs: DataFrame) -> DataFrame:
                 new,
                 [likeness(own[i], n) for i, n in zip(keep, new, strict=True)],
                 [likeness(own[i], own[i + 1]) for i in keep],
+                [print_digest(own[i])[0] if texts[i] else None for i in keep],
+                [print_digest(own[i])[1] if texts[i] else None for i in keep],
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -279,6 +371,7 @@ def next_and_edited(docs: DataFrame) -> DataFrame:
                     yield done(held)
                     held = held[-1:]
 
-    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("bucket", "doc_id", "halo", "text").mapInArrow(edit, kinds)
+    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, h1 long, h2 long"
+    edited = dealt.select("bucket", "doc_id", "halo", "text").mapInArrow(edit, kinds)
+    return edited if digests else edited.drop("h1", "h2")
 

@@ -26,20 +26,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, give_back, partitions, unused
-from .graph import components, join_hot
+from . import linking
+from .common import LOWER, UPPER, cut, unused
+from .graph import join_hot
 
-#: Sets in a block of a family.
-BLOCK = 128
 LEAF, FANOUT = 8, 4
 #: Parts beyond those that a link needs, as a share of the shingles that may differ and a few more; so many give no key.
 SLACK_SHARE, SLACK = 1.0, 2
@@ -47,16 +46,10 @@ SLACK_SHARE, SLACK = 1.0, 2
 ROUTING_SAMPLE, FREQUENT_IN, FREQUENT_SHINGLES = 8000, 2, 500_000
 #: The sizes of a class grow by this factor.
 CLASS_RATIO = 1.4
-#: Routing buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
-#: Up to so many rows, two numbers each, the candidates' ids are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
 #: Entries of a block's incidence matrix; blocks of longer documents are counted set by set.
 MATRIX_ENTRIES = 12_000_000
 #: Hashes of words that a worker remembers; they are cheap to make again.
 CACHED_WORDS = 100_000
-#: Documents whose keys are combined together in a task.
-TOGETHER = 1500
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x1234567890ABCDEF & 2**64 - 1 | 1) for i in range(1, 65)]
@@ -165,101 +158,6 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.asarray(found.to_numpy(), np.int64).view(np.uint64))
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their least node, and the distinct edges (node, least node) of keys with several."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    first = np.flatnonzero(new)
-    least = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
-    differ = nodes != least
-    edges = np.unique(np.stack((nodes[differ], least[differ]), 1), axis=0) if differ.any() else np.empty((0, 2), np.int64)
-    return keys[first], nodes[first], edges[:, 0], edges[:, 1]
-
-
-_ROUTED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("th", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
-_ROUTED_KINDS = "bucket int, doc_id long, n_shingles long, th long, h1 long, h2 long, a long, b long, blob binary"
-
-
-def _rows(schema: pa.Schema, **columns: Sequence) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
-
-
-def _route(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """One row for each document (doc_id, n_shingles, text's hash th, h1, h2) and one for each edge (a, b) between set digests."""
-    spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * partitions(spark)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        try:
-            for whole in batches:
-                for at in range(0, whole.num_rows, TOGETHER):
-                    turn += 1
-                    yield from emit_some(whole.slice(at, TOGETHER), turn)
-        finally:
-            _HASHES.clear()
-            give_back()
-
-    def emit_some(batch: pa.RecordBatch, turn: int) -> Iterator[pa.RecordBatch]:
-        ids, sizes, ones, twos = batch.column(0).to_pylist(), [], [], []
-        keys, nodes = [], []
-        seen: set[tuple[int, int]] = set()
-        for text in batch.column(1):
-            shingles = shingle_set(text.as_py(), words)
-            one, two = set_digest(shingles) if len(shingles) else (None, None)
-            sizes.append(len(shingles))
-            ones.append(one)
-            twos.append(two)
-            if len(shingles) and (one, two) not in seen:
-                seen.add((one, two))
-                keys.append(routing_keys(shingles, num, den, frequent.value))
-                nodes.append(np.full(len(keys[-1]), one, np.int64))
-        yield _rows(_ROUTED, bucket=[(turn * 7919 + i) % buckets for i in range(len(ids))], doc_id=ids, n_shingles=sizes, th=batch.column(2).to_pylist(), h1=ones, h2=twos)
-        if not keys:
-            return
-        key, node, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
-        if len(a):
-            yield _rows(_ROUTED, bucket=(np.abs(a) % buckets).astype(np.int32), a=a, b=b)
-        bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # keys are sorted, and so are buckets
-        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(edge[1:], len(key))
-        blobs = [key[x:y].tobytes() + node[x:y].tobytes() for x, y in zip(edge.tolist(), ends.tolist(), strict=True)]
-        yield _rows(_ROUTED, bucket=bucket[edge].astype(np.int32), blob=blobs)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        at = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                halves = [(np.frombuffer(x, np.uint64, len(x) // 16), np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2)) for x in held]
-                _, _, a, b = _stars(np.concatenate([x for x, _ in halves]), np.concatenate([x for _, x in halves]))
-                if len(a):
-                    yield _rows(_ROUTED, a=a, b=b)
-                held.clear()
-
-        for batch in batches:
-            blobs = batch.column("blob").is_valid()
-            other = batch.filter(pa.compute.invert(blobs))
-            if other.num_rows:
-                yield other
-            mine = batch.filter(blobs)
-            for bucket, blob in zip(mine.column(0).to_pylist(), mine.column("blob").to_pylist(), strict=True):
-                if bucket != at:
-                    yield from flush()
-                    at = bucket
-                held.append(blob)
-        yield from flush()
-        give_back()
-
-    routed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th")).mapInArrow(emit, _ROUTED_KINDS)
-    dealt = routed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return cut(dealt.mapInArrow(meet, _ROUTED_KINDS).select("doc_id", "n_shingles", "th", "h1", "h2", "a", "b"))
-
-
 class SignatureTree:
     """A tree over sets: each node has the OR of the bitmaps below it, and what bounds sizes and overlaps."""
 
@@ -381,141 +279,34 @@ def _overlaps(sets: Sequence[np.ndarray]):
     return counted
 
 
-class Classes(NamedTuple):
-    """Rows by their set, and what links reach."""
+class Shingles:
+    """Texts compared by the Jaccard of their sets of shingles, num/den or more; ``frequent`` is broadcast."""
 
-    #: (doc_id, n_shingles, h1, h2) of each row; h1 and h2 are null for an empty set.
-    rows: DataFrame
-    #: (h1, h2, n, node, rep, component) of each set that is not empty: how many rows have it, their least doc_id, and the least node that links reach.
-    classes: DataFrame
+    dtype = np.dtype(np.uint64)
 
+    def __init__(self, words: int, num: int, den: int, frequent: Broadcast):
+        self.words, self.num, self.den, self.frequent = words, num, den, frequent
 
-def linked_classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, through_ids: bool = True) -> Classes:
-    """The classes of equal sets of ``docs`` (doc_id, text) and their components by links of num/den or more.
+    def forms(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        return [shingle_set(t, self.words) for t in texts]
 
-    With ``through_ids``, classes that share a doc_id are linked as well.
-    """
-    routed = _route(docs, words, num, den)
-    own = routed.where("n_shingles is not null").select("doc_id", "n_shingles", "h1", "h2")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    named = routed.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    # Numbers of written rows don't change any more.
-    classes = cut(named.select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), F.monotonically_increasing_id().alias("node")))
-    total = classes.count()
-    families = components(routed.where("a is not null").select("a", "b"))
-    family = cut(classes.join(families, classes["h1"] == families["node"]).select(classes["node"], "h1", "h2", "rep", "th", F.col("component").alias("family")))
-    links = _links(docs, _in_families(family, 2, total), words, num, den, total)
-    if through_ids:
-        links = links.unionByName(_through_ids(own, classes))
-    found = components(links)
-    return Classes(own, cut(classes.join(found, "node", "left").select("h1", "h2", "n", "node", "rep", F.coalesce("component", "node").alias("component"))))
-
-
-def _in_families(members: DataFrame, least: int, total: int) -> DataFrame:
-    """``members`` (family, ...) of families with ``least`` members or more, with the number of their blocks."""
-    sizes = cut(members.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    return cut(join_hot(members, sizes.where(F.col("n") >= least).select("family", "n", blocks), ["family"], total))
-
-
-def _through_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): classes that share a doc_id, each with the least of them."""
-    named = own.where("h1 is not null and doc_id is not null")
-    key = F.struct("h1", "h2")
-    several = cut(named.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("doc_id", "n"))
-    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not total:
-        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    shared = cut(join_hot(named.select("doc_id", "h1", "h2"), several, ["doc_id"], total).distinct().join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node"))
-    least = cut(shared.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")))
-    return join_hot(shared, least, ["doc_id"], total).select(F.col("node").alias("a"), "b").where("a != b")
-
-
-def _links(docs: DataFrame, asked: DataFrame, words: int, num: int, den: int, total: int) -> DataFrame:
-    """(a, b) nodes of ``asked`` (node, h1, h2, rep, th, family, blocks) that links join, enough of them to tell the components.
-
-    In rounds, each family is cut into blocks at random, trees link what is in a block,
-    and of each component so far one set goes on, until rounds help little.  So a family
-    of very many near copies shrinks by a factor a round.  Then all sets of different
-    components meet, block by block; blocks of one component never do.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    wanted = texts.join(few, texts["doc_id"].eqNullSafe(few["rep"]) & (texts["th"] == few["th"])).select("node", "family", "blocks", "h1", "h2", "text")
+    def digest(self, form: np.ndarray) -> tuple[int, int]:
+        return set_digest(form)
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            batch = batch[~batch["node"].isin(seen)].drop_duplicates("node")
-            made = [shingle_set(t, words) for t in batch.pop("text")]
-            same = [len(s) > 0 and set_digest(s) == (a, b) for s, a, b in zip(made, batch["h1"], batch["h2"], strict=True)]
-            batch["shingles"] = [s.tobytes() for s in made]
-            batch = batch.loc[same, ["node", "family", "blocks", "shingles"]]
-            seen.update(batch["node"].tolist())
-            yield batch
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("node", kind="stable")
-        nodes = group["node"].tolist()
-        firsts = tree_links([np.frombuffer(s, np.uint64) for s in group["shingles"]], group["side"].tolist(), num, den, group["label"].tolist())
-        edges = [(group["family"].iloc[0], nodes[i], nodes[f]) for i, f in enumerate(firsts) if i != f]
-        return pd.DataFrame(edges, columns=["family", "a", "b"], dtype="int64")
-
-    kinds = "family long, a long, b long"
-    block = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
-    placed = wanted.mapInPandas(sets, "node long, family long, blocks int, shingles binary")
-    large = asked.where("blocks > 1").select("node", "family", "blocks")
-    some_large = not large.isEmpty()
-    if some_large:  # their sets are needed again
-        placed = cut(placed)
-    now = placed.select("node", "family", "shingles", block(0).alias("block"), F.lit(0).alias("side"), F.col("node").alias("label"))
-    edges = cut(now.groupBy("family", "block").applyInPandas(link, kinds))
-    if not some_large:
-        return edges.select("a", "b")
-    active, turn = large, 0
-    while True:
-        labels = components(edges.join(large.select("family").distinct(), "family", "left_semi").select("a", "b"))
-        labelled = cut(large.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label")))
-        reached, before = labelled.groupBy("family", "label").agg(F.min("node").alias("node")), active.count()
-        active, turn = _in_families(reached, 2, total), turn + 1
-        if active.count() * 3 > before * 2:
-            break
-        again = active.select("node", "family", "blocks", F.col("node").alias("label"))
-        again = placed.select("node", "shingles").join(again, "node").select("node", "family", "shingles", block(turn).alias("block"), F.lit(0).alias("side"), "label")
-        edges = cut(edges.unionByName(again.groupBy("family", "block").applyInPandas(link, kinds)))
-    met = _unlike_blocks(labelled, active.select("family").distinct())
-    if met is None:
-        return edges.select("a", "b")
-    last = placed.select("node", "shingles").join(met, "node").groupBy("family", "low", "high").applyInPandas(link, kinds)
-    return cut(edges.unionByName(last)).select("a", "b")
-
-
-def _unlike_blocks(labelled: DataFrame, open_: DataFrame) -> DataFrame | None:
-    """(node, family, label, low, high, side) for every two blocks of a family in which sets have different labels; None if there are none.
-
-    A label of ``BLOCK`` sets or more has blocks of its own, which meet those of others;
-    the sets of smaller labels share blocks, and these meet themselves as well.
-    """
-    mine = labelled.join(open_, "family", "left_semi")
-    total = mine.count()
-    if not total:
-        return None
-    counts = cut(mine.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")))
-    small = counts.where(F.col("n") < BLOCK).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
-    own = counts.join(small, "family", "left").select("family", "label", "n", F.when(F.col("n") >= BLOCK, F.col("label")).alias("of"), F.when(F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("mixed")).alias("parts"))
-    by = F.when(F.col("of").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("node"))
-    parted = cut(join_hot(mine, cut(own), ["family", "label"], total).withColumn("part", F.pmod(by, F.col("parts"))))
-    order = Window.partitionBy("family").orderBy("of", "part")
-    blocks = cut(parted.groupBy("family", "of", "part").agg(F.count(F.lit(1)).alias("sets")).withColumn("block", F.row_number().over(order)))
-    mixed, whole = blocks.where("of is null").select("family", F.col("block").alias("one")), blocks.where("of is not null").select("family", "of", "block")
-    pairs = mixed.join(blocks.select("family", "block"), "family").where("one <= block").select("family", F.col("one").alias("low"), F.col("block").alias("high"))  # mixed blocks come first
-    labels = whole.select("family", "of").distinct()
-    two = labels.join(labels.select("family", F.col("of").alias("of2")), "family").where("of < of2")
-    across = two.join(whole.withColumnRenamed("block", "b1"), ["family", "of"]).join(whole.select("family", F.col("of").alias("of2"), F.col("block").alias("b2")), ["family", "of2"])
-    pairs = pairs.unionByName(across.select("family", F.least("b1", "b2").alias("low"), F.greatest("b1", "b2").alias("high")))
-    asked = pairs.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    placed = parted.join(blocks.drop("sets"), [parted["family"] == blocks["family"], parted["of"].eqNullSafe(blocks["of"]), parted["part"] == blocks["part"]]).select("node", parted["family"], "label", "block")
-    return placed.join(asked, ["family", "block"]).select("node", "family", "label", "low", "high", F.col("block").alias("side"))
+    def keys(self, form: np.ndarray) -> np.ndarray:
+        return routing_keys(form, self.num, self.den, self.frequent.value)
+
+    def firsts(self, forms: Sequence[np.ndarray], sides: Sequence[int], known: Sequence[int]) -> list[int]:
+        return tree_links(forms, sides, self.num, self.den, known)
+
+    def done(self) -> None:
+        _HASHES.clear()
+
+
+def linked_sets(docs: DataFrame, words: int, num: int, den: int, through_ids: bool = True) -> linking.Classes:
+    """The classes of equal shingle sets of ``docs`` and their components by links of num/den or more."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+    return linking.linked_classes(docs, Shingles(words, num, den, frequent), through_ids)
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -529,13 +320,13 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     A row with a null doc_id has the least doc_id of its component, or null.  Other
     columns are ignored.
     """
-    linked = linked_classes(docs, words, num, den)
+    linked = linked_sets(docs, words, num, den)
     least = linked.classes.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     total = linked.classes.count()
     named = cut(join_hot(linked.classes, cut(least.withColumnRenamed("sets", "n_sets")), ["component"], total, "n_sets").select("h1", "h2", "n", "component_id"))
     found = join_hot(linked.rows.where("h1 is not null"), named, ["h1", "h2"], linked.rows.count())
     alone = linked.rows.where("h1 is null").withColumn("component_id", F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    return found.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -547,7 +338,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int
     set; equal sets of one doc_id give the row with the least text.  Rows whose text has
     no words are in no group and stay.
     """
-    linked = linked_classes(docs, words, num, den, through_ids=False)
+    linked = linked_sets(docs, words, num, den, through_ids=False)
     total = linked.rows.count()
     named = join_hot(linked.rows.where("h1 is not null"), linked.classes.select("h1", "h2", "n", "component"), ["h1", "h2"], total)
     sets = cut(named.groupBy("doc_id", "h1", "h2", "component").agg(F.count(F.lit(1)).alias("rows")))
@@ -558,7 +349,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int
     ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("some"))
     gone = cut(ids.where("not some").select(F.col("doc_id").alias("_id")))
     several = cut(ids.where("some and rows > 1").select(F.col("doc_id").alias("_id")))
-    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    few = lambda rows: F.broadcast(rows) if rows.count() <= linking.BROADCAST_ROWS else rows
     same = F.col("doc_id").cast("long") == F.col("_id")
     wordless = F.coalesce(~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     kept = docs.join(few(gone.unionByName(several)), same, "left_anti").where(F.col("doc_id").isNotNull() | wordless)

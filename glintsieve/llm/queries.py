@@ -16,7 +16,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.next_and_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprints.edited_and_near(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

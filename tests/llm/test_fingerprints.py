@@ -4,6 +4,7 @@ import random
 import pytest
 
 from glintsieve.llm import fingerprints as fp
+from glintsieve.llm import linking
 
 
 def prose(draw, n):
@@ -86,21 +87,67 @@ def test_one_row_none_and_repeated(spark):
     assert len(rows) == 40 and len(set(rows)) == 1
 
 
-def test_near_documents(spark):
+def brute_classes(texts, least):
+    """The least number of a text that links reach, and how many pairs are linked; every two texts are compared."""
+    made, label = fp.fingerprints([t or "" for t in texts]), list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] and texts[j] and fp.likeness(made[i], made[j]) >= least]
+    for i, j in pairs:
+        one, two = sorted((label[i], label[j]))
+        label = [one if x == two else x for x in label]
+    return label, pairs
+
+
+def changed(draw, text, times):
+    out = list(text)
+    for _ in range(times):
+        at = draw.randrange(len(out))
+        out[at : at + 1] = draw.choice(["", "q", out[at] + "z"])
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("least", "block", "broadcast"), [(0.8, 128, 10**6), (0.8, 4, 0), (0.7, 3, 10**6)])
+def test_near_classes(spark, monkeypatch, least, block, broadcast):
+    """Families of many near texts in small blocks, copies, strangers between them, texts just beyond a scale's end, and odd rows."""
+    monkeypatch.setattr(linking, "BLOCK", block)
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", broadcast)
     draw = random.Random(6)
-    base = [prose(draw, 1500) for _ in range(20)]
-    near = []
-    for text in base[:10]:
-        changed = list(text)
-        for at in draw.sample(range(1500), 12):
-            changed[at] = "q"
-        near.append("".join(changed))
-    texts = base + near
-    index = {f: i for i, f in enumerate(fp.fingerprints(texts))}
-    want = {frozenset((i, j)) for f, i in index.items() for g, j in index.items() if i < j and fp.likeness(f, g) >= 0.7}
-    assert len(want) >= 5
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + base[:3])], "doc_id long, text string")
-    found = fp.near_documents(fp.fingerprint_documents(docs), 0.7).collect()
-    pairs = {frozenset((index[r.fingerprint], index[r.near_fingerprint])) for r in found}
-    assert len(found) == len(pairs) and pairs <= want
-    assert len(pairs) >= 0.9 * len(want)
+    texts = [prose(draw, draw.choice([30, 66, 130, 700, 1030, 2060, 4100, 9000])) for _ in range(60)]
+    texts += [changed(draw, t, draw.choice([1, 1, 2, 5])) for t in texts[:30] for _ in range(2)]
+    texts += [changed(draw, texts[3], 2) for _ in range(40)]
+    texts += texts[:5] * 3 + ["", None, "", "x", "x"]
+    want, pairs = brute_classes(texts, least)
+    rows = list(enumerate(texts)) + [(None, texts[0])]
+    docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id long, text string, h1 int, near_class string").repartition(4)
+    got = {r.doc_id: r for r in fp.edited_and_near(docs, least).collect()}
+    assert len(got) == len(rows) and got[None].near_class == got[0].near_class
+    assert all((got[i].near_class is None) == (not t) for i, t in enumerate(texts))
+    # No class joins what links don't, and nearly every link is in a class.
+    for i, t in enumerate(texts):
+        assert all(want[i] == want[j] for j in range(i) if t and texts[j] and got[i].near_class == got[j].near_class)
+        assert not t or got[i].near_class <= fp.print_digest(got[i].fingerprint)[0]
+    joined = sum(got[i].near_class == got[j].near_class for i, j in pairs)
+    assert len(pairs) > 400 and joined >= 0.97 * len(pairs)
+
+
+def test_band_meetings_follow_likeness():
+    """Of pairs at the threshold, nearly all meet in a band; of strangers, whatever their lengths, few do."""
+    draw, by = random.Random(8), fp.Prints(0.8)
+    near = met = strangers = chance = 0
+    for _ in range(250):
+        text = prose(draw, draw.choice([66, 130, 300, 1030, 2060, 5000]))
+        one, two, other = by.forms([text, changed(draw, text, max(1, len(text) // 150)), prose(draw, len(text) + draw.randrange(-3, 4))])
+        keys = set(by.keys(one).tolist())
+        if 0.8 <= fp.likeness(one.tobytes().decode(), two.tobytes().decode()) < 0.9:
+            near += 1
+            met += bool(keys & set(by.keys(two).tolist()))
+        strangers += 1
+        chance += bool(keys & set(by.keys(other).tolist()))
+    assert near >= 20 and met >= 0.97 * near
+    assert chance <= 0.02 * strangers
+
+
+def test_no_near_classes(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert fp.near_classes(none).collect() == [] and fp.edited_and_near(none).collect() == []
+    few = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a")], "doc_id long, text string")
+    assert fp.near_classes(few).collect() == []

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintsieve.llm import jaccard
+from glintsieve.llm import jaccard, linking
 from glintsieve.llm.graph import components
 
 
@@ -111,7 +111,7 @@ def test_trees_find_every_component(seed, monkeypatch):
 
 @pytest.mark.parametrize(("words", "num", "block"), [(3, 90, 128), (3, 90, 4), (5, 80, 6)])
 def test_documents(spark, words, num, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(linking, "BLOCK", block)
     draw = random.Random(words * block)
     texts = near_copies(draw, 25, 12, 120) + [None, "", " \n\t", "One", "one", "one two", "ONE  TWO", "one two three", "e f g h", *["hot copy of many words here"] * 60]
     rows = [(i * 3 + 5, t) for i, t in enumerate(texts)]
@@ -125,7 +125,7 @@ def test_broadcast_or_not(spark, monkeypatch):
     draw = random.Random(8)
     rows = list(enumerate(near_copies(draw, 10, 8, 80)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", 0)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
     assert got == brute(rows, 3, 90, 100)
 
@@ -147,7 +147,7 @@ def test_rows_that_share_an_id_are_linked(spark):
 
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_one_row_of_each_group_stays(spark, broadcast, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", broadcast)
     rows = [(3, "a b c d e f", "1"), (5, "a b c d e f", "2"), (5, "x y z w v", "3"), (5, "x Y z w v", "4"), (5, None, "5"), (None, "a b c d e f", "6"), (None, "q r s t u", "7"), (None, "q r s t u", "8"), (None, "", "9"), (7, "a b c d e f", "10"), (7, " ", "11"), (8, "", "12"), (8, "", "13")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string").withColumn("set", F.create_map(F.lit(1), F.lit(2)))
     kept = jaccard.distinct_documents(docs)
@@ -158,7 +158,7 @@ def test_one_row_of_each_group_stays(spark, broadcast, monkeypatch):
 
 def test_large_families_lose_no_link(spark, monkeypatch):
     """Families of many blocks, of one component and of several that share a routing key."""
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(linking, "BLOCK", 3)
     draw = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     texts = []
