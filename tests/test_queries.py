@@ -27,6 +27,16 @@ def test_query(spark, small, name):
     assert rows_of(got) == rows_of(con.sql(oracles.ORACLE_SQL[name]).df())
 
 
+def test_document_secrets_in_capitals(spark, tmp_path):
+    """A copy in capitals has its secret in capitals, which the SQL finds as well."""
+    text = 'one\ntoken = "04dbebab91ab85687d33eeaaf9ac699e1188f962" two'
+    spark.createDataFrame([(1, text), (2, text.upper())], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.document_secrets(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(got) == 2 and rows_of(got) == rows_of(con.sql(oracles.ORACLE_SQL["document_secrets"]).df())
+
+
 def test_entry(spark, small):
     frame = __spark_entry__.entry(spark)
     assert frame.count() > 0 and frame.columns[0] == "fingerprint"
