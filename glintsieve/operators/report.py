@@ -5,7 +5,10 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,16 @@ def to_json(groups: DataFrame, sources: list[str] = (), errors: list[str] = (),
     """The JSON report; a report is of groups, which are as many as there are different secrets."""
     rows = _rows(groups, with_secret)
     by = {s: n for s in SEVERITIES if (n := sum(r["severity"] == s for r in rows))}
-    summary = {"findings": len(rows), "occurrences": sum(r["occurrences"] for r in rows), "by_severity": by, "sources": list(sources), "errors": list(errors)}
-    return json.dumps({"tool": {"name": TOOL, "version": VERSION}, "summary": summary, "stats": stats or {}, "findings": rows}, indent=2, ensure_ascii=False)
+    return _dumped(_json_report(rows, len(rows), sum(r["occurrences"] for r in rows), by, sources, errors, stats))
+
+
+def _dumped(what: dict) -> str:
+    return json.dumps(what, indent=2, ensure_ascii=False)
+
+
+def _json_report(rows: list, count: int, occurrences: int, by: dict[str, int], sources: list[str] = (), errors: list[str] = (), stats: dict | None = None) -> dict:
+    summary = {"findings": count, "occurrences": occurrences, "by_severity": by, "sources": list(sources), "errors": list(errors)}
+    return {"tool": {"name": TOOL, "version": VERSION}, "summary": summary, "stats": stats or {}, "findings": rows}
 
 
 def to_csv(groups: DataFrame, with_secret: bool = False) -> str:
@@ -70,21 +81,75 @@ def to_csv(groups: DataFrame, with_secret: bool = False) -> str:
 
 def to_sarif(groups: DataFrame, errors: list[str] = (), with_secret: bool = False) -> str:
     """A SARIF 2.1.0 document: a rule for each that is found, in order of appearance, and a result for each group."""
-    rules, results = {}, []
-    for r in _rows(groups, with_secret):
-        level = SARIF_LEVEL[r["severity"]]
-        named = {"text": r["rule_name"]}
-        rules.setdefault(r["rule_id"], {"id": r["rule_id"], "name": r["rule_name"], "shortDescription": named, "fullDescription": named, "defaultConfiguration": {"level": level}, "properties": {"tags": r["tags"] or ["security"], "severity": r["severity"]}})
-        shown = f"secret={r['secret']}" if with_secret else f"masked={r['secret_masked']}"
-        place = {
-            "physicalLocation": {"artifactLocation": {"uri": r["source"].replace("\\", "/")}, "region": {"startLine": max(1, r["line"]), "startColumn": max(1, r["column"] or 1)}},
-            "logicalLocations": [{"name": r["json_path"], "kind": "member"}] if r["json_path"] else [],
-        }
-        known = {"confidence": r["confidence"], "confidenceScore": r["confidence_score"], "entropy": r["entropy"], "normalizedEntropy": r["normalized_entropy"], "charset": r["charset"], "occurrences": r["occurrences"], "evidence": r["evidence"], "cloudContext": r["cloud_context"]}
-        results.append({"ruleId": r["rule_id"], "level": level, "message": {"text": f"{r['rule_name']}: {r['context_summary']} ({shown})"}, "partialFingerprints": {f"{TOOL}/v1": r["fingerprint"]}, "locations": [place], "properties": known})
+    rows = _rows(groups, with_secret)
+    rules = {}
+    for r in rows:
+        rules.setdefault(r["rule_id"], _sarif_rule(r))
+    return _dumped(_sarif_report(list(rules.values()), [_sarif_result(r, with_secret) for r in rows], errors))
+
+
+def _sarif_rule(r: dict) -> dict:
+    named = {"text": r["rule_name"]}
+    return {"id": r["rule_id"], "name": r["rule_name"], "shortDescription": named, "fullDescription": named, "defaultConfiguration": {"level": SARIF_LEVEL[r["severity"]]}, "properties": {"tags": r["tags"] or ["security"], "severity": r["severity"]}}
+
+
+def _sarif_result(r: dict, with_secret: bool) -> dict:
+    shown = f"secret={r['secret']}" if with_secret else f"masked={r['secret_masked']}"
+    place = {
+        "physicalLocation": {"artifactLocation": {"uri": r["source"].replace("\\", "/")}, "region": {"startLine": max(1, r["line"]), "startColumn": max(1, r["column"] or 1)}},
+        "logicalLocations": [{"name": r["json_path"], "kind": "member"}] if r["json_path"] else [],
+    }
+    known = {"confidence": r["confidence"], "confidenceScore": r["confidence_score"], "entropy": r["entropy"], "normalizedEntropy": r["normalized_entropy"], "charset": r["charset"], "occurrences": r["occurrences"], "evidence": r["evidence"], "cloudContext": r["cloud_context"]}
+    return {"ruleId": r["rule_id"], "level": SARIF_LEVEL[r["severity"]], "message": {"text": f"{r['rule_name']}: {r['context_summary']} ({shown})"}, "partialFingerprints": {f"{TOOL}/v1": r["fingerprint"]}, "locations": [place], "properties": known}
+
+
+def _sarif_report(rules: list, results: list, errors: list[str] = ()) -> dict:
     told = [{"level": "error", "message": {"text": e}} for e in errors]
-    run = {"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": list(rules.values())}}, "results": results, "invocations": [{"executionSuccessful": not errors, "toolExecutionNotifications": told}]}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=2, ensure_ascii=False)
+    run = {"tool": {"driver": {"name": TOOL, "version": VERSION, "rules": rules}}, "results": results, "invocations": [{"executionSuccessful": not errors, "toolExecutionNotifications": told}]}
+    return {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}
+
+
+def report_pieces(groups: DataFrame, with_secret: bool = False) -> DataFrame:
+    """(part, sarif, json): both reports in pieces; joined in order of part they are what ``to_sarif`` and ``to_json`` give.
+
+    The first and the last row are what comes before and after the groups, and each
+    group between them is a row, made by the workers: the driver has a row for each rule.
+    """
+    spark = groups.sparkSession
+    place = F.struct("severity_rank", (-F.col("score")).alias("score"), (-F.col("occurrences")).alias("occurrences"), "rule_id", "fingerprint")
+    told = F.min_by(F.struct("rule_id", "rule_name", "severity", "tags"), place)
+    # As few as there are rules.
+    found = groups.groupBy("rule_id", "severity").agg(F.min(place).alias("first"), told.alias("told"), F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("occurrences")).collect()
+    found.sort(key=lambda r: tuple(r["first"]))
+    rules = {}
+    for r in found:
+        rules.setdefault(r["rule_id"], _sarif_rule(r["told"].asDict(recursive=True)))
+    by = {s: n for s in SEVERITIES if (n := sum(r["n"] for r in found if r["severity"] == s))}
+    mark = uuid.uuid4().hex
+    some = [mark] if found else []
+    whole = {"sarif": _sarif_report(list(rules.values()), some), "json": _json_report(some, sum(r["n"] for r in found), sum(r["occurrences"] for r in found), by)}
+    around = {name: [*_dumped(what).split(f'"{mark}"'), ""][:2] for name, what in whole.items()}
+    begin = {name: "\n" + before.rpartition("\n")[2] for name, (before, _) in around.items()}
+    first = found[0]["first"]["fingerprint"] if found else None
+
+    def piece(name: str, what: dict, comma: bool) -> str:
+        return ("," + begin[name] if comma else "") + _dumped(what).replace("\n", begin[name])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            parts = [r.pop("part") for r in rows]
+            for r in rows:
+                r["cloud_context"] = None if r["cloud_context"] is None else dict(r["cloud_context"])
+            more = [r["fingerprint"] != first for r in rows]
+            sarif = [piece("sarif", _sarif_result(r, with_secret), comma) for r, comma in zip(rows, more, strict=True)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int64()), "sarif": pa.array(sarif, pa.string()), "json": pa.array([piece("json", r, comma) for r, comma in zip(rows, more, strict=True)], pa.string())})
+
+    kinds = "part long, sarif string, json string"
+    # Numbers grow along the order, from 0; one below and the largest long are before and after all.
+    numbered = payload(ordered(groups), with_secret).drop("_rank").withColumn("part", F.monotonically_increasing_id())
+    ends = [(part, around["sarif"][i], around["json"][i]) for i, part in enumerate((-1, 2**63 - 1))]
+    return spark.createDataFrame(ends, kinds).unionByName(numbered.mapInArrow(write, kinds))
 
 
 def export(groups: DataFrame, kind: str, **more) -> str:

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from glintsieve.operators import report
 from glintsieve.plans import oracles, queries
 
 
@@ -37,6 +38,18 @@ def test_document_secrets_in_capitals(spark, tmp_path):
     assert len(got) == 2 and rows_of(got) == rows_of(con.sql(oracles.ORACLE_SQL["document_secrets"]).df())
 
 
+@pytest.mark.parametrize("condition", ["true", "false"])
+def test_sarif_report_in_pieces(spark, small, condition, monkeypatch):
+    """Joined in order the pieces are the reports, and no groups are gathered at the driver."""
+    found = queries.grouped_structural(spark, small).where(condition).cache()
+    want = report.to_sarif(found), report.to_json(found)
+    monkeypatch.setattr(queries, "grouped_structural", lambda *_: found)
+    monkeypatch.setattr(report, "_rows", None)
+    got = queries.sarif_report(spark, small).orderBy("part").collect()
+    assert len(got) == found.count() + 2
+    assert ("".join(r.sarif for r in got), "".join(r.json for r in got)) == want
+
+
 def test_entry(spark, small):
     frame = __spark_entry__.entry(spark)
     assert frame.count() > 0 and frame.columns[0] == "fingerprint"
