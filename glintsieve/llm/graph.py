@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, drop_cut, partitions
 
 #: A key is hot from so small a part of a partition's even share of the rows on.
 HOT_SHARE = 4
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = larger.groupBy("a").agg(F.min("b").alias("m"))
         smaller = larger.join(least, "a")
         smaller = smaller.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(smaller.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        now, older = cut(smaller.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), now
+        drop_cut(older)
         state, last = _state(now), state
         if state == last:
             break

@@ -349,17 +349,24 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int
     ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("some"))
     gone = cut(ids.where("not some").select(F.col("doc_id").alias("_id")))
     several = cut(ids.where("some and rows > 1").select(F.col("doc_id").alias("_id")))
-    few = lambda rows: F.broadcast(rows) if rows.count() <= linking.BROADCAST_ROWS else rows
-    same = F.col("doc_id").cast("long") == F.col("_id")
+
+    def of_ids(ids: DataFrame, inside: bool) -> DataFrame:
+        """The rows of ``docs`` whose id is among ``ids``, or all others; their texts are never shuffled."""
+        own = F.col("doc_id").cast("long")
+        if ids.count() <= linking.BROADCAST_ROWS:
+            return docs.join(F.broadcast(ids), own == F.col("_id"), "left_semi" if inside else "left_anti")
+        has = own.isNotNull() & linking.among(ids, F.coalesce(own, F.lit(0)))
+        return docs.where(has if inside else ~has)
+
     wordless = F.coalesce(~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = docs.join(few(gone.unionByName(several)), same, "left_anti").where(F.col("doc_id").isNotNull() | wordless)
+    kept = of_ids(gone.unionByName(several), False).where(F.col("doc_id").isNotNull() | wordless)
     odd = docs.where("doc_id is null")
     if not several.isEmpty():
-        odd = odd.unionByName(docs.join(few(several), same, "left_semi"))
+        odd = odd.unionByName(of_ids(several, True))
     # Wordless rows of ids whose other rows go are back, too.
     alone = cut(linked.rows.where("h1 is null").select(F.col("doc_id").alias("_id")).join(gone, "_id", "left_semi").distinct())
     if not alone.isEmpty():
-        kept = kept.unionByName(docs.join(few(alone), same, "left_semi").where(wordless))
+        kept = kept.unionByName(of_ids(alone, True).where(wordless))
 
     @F.pandas_udf("h1 long, h2 long")
     def digest(texts: pd.Series) -> pd.DataFrame:

@@ -15,17 +15,17 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, partitions
+from .common import cut, drop_cut, give_back, partitions
 from .graph import components, join_hot
 
 #: Classes in a block of a family.
 BLOCK = 128
 #: Routing buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
-#: Up to so many rows, two numbers each, the candidates' ids are broadcast; beyond, both sides are shuffled.
+#: Up to so many rows, two numbers each, the candidates' ids are broadcast; beyond, 8 bytes of each, and only rows that these let through are shuffled.
 BROADCAST_ROWS = 500_000
 #: Documents whose keys are combined together in a task.
 TOGETHER = 1500
@@ -146,6 +146,19 @@ def _route(docs: DataFrame, by: Comparison) -> DataFrame:
     return cut(dealt.mapInArrow(meet, _ROUTED_KINDS).select("doc_id", "size", "th", "h1", "h2", "a", "b"))
 
 
+def among(names: DataFrame, name: Column) -> Column:
+    """Whether ``name``, a long that is not null, is among ``names`` (one long): these are sent to all workers, 8 bytes each."""
+    known = names.sparkSession.sparkContext.broadcast(np.unique(names.toArrow().column(0).to_numpy()))
+
+    @F.pandas_udf("boolean")
+    def listed(values: pd.Series) -> pd.Series:
+        asked = values.to_numpy()
+        at = np.searchsorted(known.value, asked)
+        return pd.Series(np.append(known.value, 0)[at] == asked) & (at < len(known.value))
+
+    return listed(name)
+
+
 class Classes(NamedTuple):
     """Rows by their form, and what links reach."""
 
@@ -169,7 +182,9 @@ def linked_classes(docs: DataFrame, by: Comparison, through_ids: bool = True) ->
     total = classes.count()
     families = components(routed.where("a is not null").select("a", "b"))
     family = cut(classes.join(families, classes["h1"] == families["node"]).select(classes["node"], "h1", "h2", "rep", "th", F.col("component").alias("family")))
-    links = _links(docs, _in_families(family, 2, total), by, total)
+    asked = _in_families(family, 2, total)
+    drop_cut(family)
+    links = _links(docs, asked, by, total)
     if through_ids:
         links = links.unionByName(_through_ids(own, classes))
     found = components(links)
@@ -180,7 +195,9 @@ def _in_families(members: DataFrame, least: int, total: int) -> DataFrame:
     """``members`` (family, ...) of families with ``least`` members or more, with the number of their blocks."""
     sizes = cut(members.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    return cut(join_hot(members, sizes.where(F.col("n") >= least).select("family", "n", blocks), ["family"], total))
+    found = cut(join_hot(members, sizes.where(F.col("n") >= least).select("family", "n", blocks), ["family"], total))
+    drop_cut(sizes)
+    return found
 
 
 def _through_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,7 +222,11 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
     components meet, block by block; blocks of one component never do.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    if asked.count() <= BROADCAST_ROWS:
+        few = F.broadcast(asked)
+    else:  # whole texts are shuffled, so only those that are asked for
+        few, place = asked, lambda doc_id: F.xxhash64(doc_id, "th")
+        texts = texts.where(among(asked.select(place("rep")), place("doc_id")))
     wanted = texts.join(few, texts["doc_id"].eqNullSafe(few["rep"]) & (texts["th"] == few["th"])).select("node", "family", "blocks", "h1", "h2", "text")
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,19 +261,26 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
     active, turn = large, 0
     while True:
         labels = components(edges.join(large.select("family").distinct(), "family", "left_semi").select("a", "b"))
+        if turn:
+            drop_cut(labelled)
         labelled = cut(large.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label")))
         reached, before = labelled.groupBy("family", "label").agg(F.min("node").alias("node")), active.count()
-        active, turn = _in_families(reached, 2, total), turn + 1
+        older, active, turn = active, _in_families(reached, 2, total), turn + 1
+        if turn > 1:
+            drop_cut(older)
         if active.count() * 3 > before * 2:
             break
         again = active.select("node", "family", "blocks", F.col("node").alias("label"))
         again = placed.select("node", "form").join(again, "node").select("node", "family", "form", block(turn).alias("block"), F.lit(0).alias("side"), "label")
-        edges = cut(edges.unionByName(again.groupBy("family", "block").applyInPandas(link, kinds)))
+        edges, older = cut(edges.unionByName(again.groupBy("family", "block").applyInPandas(link, kinds))), edges
+        drop_cut(older)
     met = _unlike_blocks(labelled, active.select("family").distinct())
-    if met is None:
-        return edges.select("a", "b")
-    last = placed.select("node", "form").join(met, "node").groupBy("family", "low", "high").applyInPandas(link, kinds)
-    return cut(edges.unionByName(last)).select("a", "b")
+    if met is not None:
+        last = placed.select("node", "form").join(met, "node").groupBy("family", "low", "high").applyInPandas(link, kinds)
+        edges, older = cut(edges.unionByName(last)), edges
+        drop_cut(older)
+    drop_cut(placed)
+    return edges.select("a", "b")
 
 
 def _unlike_blocks(labelled: DataFrame, open_: DataFrame) -> DataFrame | None:

@@ -1,11 +1,13 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintsieve.llm import jaccard, linking
+from glintsieve.llm import common, jaccard, linking
 from glintsieve.llm.graph import components
 
 
@@ -192,3 +194,24 @@ def test_components(spark):
     got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
     assert dict(got) == {x: find(x) for x in label} and len(got) == len(label)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_files_and_few_texts(spark):
+    """A written frame's shuffles leave no files, its own can be deleted, and only rows that are asked for go on."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.rsplit("/", 1)[-1] for f in manager.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before = shuffled()
+    written = common.cut(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and written.count() == 1000
+    path = written._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.exists(path)
+    common.drop_cut(written)
+    assert not os.path.exists(path)
+    ids = spark.createDataFrame([(3,), (5,), (-7,)], "id long")
+    asked = spark.createDataFrame([(3,), (4,), (-7,), (9,)], "id long")
+    assert sorted(r.id for r in asked.where(linking.among(ids, F.col("id"))).collect()) == [-7, 3]
+    assert asked.where(linking.among(ids.where("false"), F.col("id"))).collect() == []
