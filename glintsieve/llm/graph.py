@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .common import cut, drop_cut, partitions
 
 #: A key is hot from so small a part of a partition's even share of the rows on.
 HOT_SHARE = 4
+#: Up to so many edges, two numbers each, the driver finds the components; rounds of stages are for more.
+DRIVER_EDGES = 200_000
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
@@ -32,9 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic in the longest path.  Minima are pre-aggregated.  A hub's edges are
     joined to one row, and adaptive execution splits that join where they are very many.
     Null ends and loops are dropped; a node without another is not in the result.
+    Up to ``DRIVER_EDGES`` the driver does the same at once.
     """
     now = cut(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
+    if state[0] <= DRIVER_EDGES:
+        ends = now.toArrow()
+        drop_cut(now)
+        return edges.sparkSession.createDataFrame(pa.table(dict(zip(("node", "component"), _least_reached(*(ends.column(c).to_numpy() for c in "ab")), strict=True))), "node long, component long")
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -50,6 +59,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of edges between ``a`` and ``b``, and the least that each of them reaches."""
+    nodes, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    one, two = codes[: len(a)], codes[len(a) :]
+    least = np.arange(len(nodes))
+    while (least[one] != least[two]).any():
+        low = np.minimum(least[one], least[two])
+        np.minimum.at(least, least[one], low)
+        np.minimum.at(least, least[two], low)
+        while (least[least] != least).any():
+            least = least[least]
+    return nodes, nodes[least]
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintsieve.llm import common, jaccard, linking
+from glintsieve.llm import common, graph, jaccard, linking
 from glintsieve.llm.graph import components
 
 
@@ -215,3 +215,17 @@ def test_few_files_and_few_texts(spark):
     asked = spark.createDataFrame([(3,), (4,), (-7,), (9,)], "id long")
     assert sorted(r.id for r in asked.where(linking.among(ids, F.col("id"))).collect()) == [-7, 3]
     assert asked.where(linking.among(ids.where("false"), F.col("id"))).collect() == []
+
+
+def test_components_at_the_driver_and_in_rounds(spark, monkeypatch):
+    """Both ways give the same; few edges take no rounds of stages."""
+    draw = random.Random(9)
+    rows = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(150, 250)] + [(draw.randrange(1000, 1100), draw.randrange(1000, 1100)) for _ in range(60)] + [(-5, -7), (None, 3), (8000, 8000)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    states = []
+    monkeypatch.setattr(graph, "_state", lambda now, f=graph._state: states.append(1) or f(now))
+    few = sorted(map(tuple, components(edges).collect()))
+    assert len(states) == 1 and components(edges.where("false")).collect() == []
+    monkeypatch.setattr(graph, "DRIVER_EDGES", -1)
+    assert sorted(map(tuple, components(edges).collect())) == few and len(states) > 3
+    assert (60, 0) in few and (249, 150) in few and (-5, -7) in few
