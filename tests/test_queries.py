@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from glintsieve.operators import report
+from glintsieve.operators import report, scan
 from glintsieve.plans import oracles, queries
 
 
@@ -50,6 +50,14 @@ def test_sarif_report_in_pieces(spark, small, condition, monkeypatch):
     assert ("".join(r.sarif for r in got), "".join(r.json for r in got)) == want
 
 
+def test_keyed_rule_hits_of_large_sources_and_runs(spark, tmp_path, monkeypatch):
+    """No cap of a source takes rows away; secrets with long runs are rejected, as the rule says."""
+    monkeypatch.setattr(scan, "capped", lambda found, most: found.limit(0))
+    ids = [1, 2, 3, 247548, 472905]  # the last two: 888888 and 2345678
+    spark.createDataFrame([(i, 1, "click") for i in ids], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.event_id for r in queries.keyed_rule_hits(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
 def test_entry(spark, small):
     frame = __spark_entry__.entry(spark)
     assert frame.count() > 0 and frame.columns[0] == "fingerprint"
