@@ -36,14 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic in the longest path.  Minima are pre-aggregated.  A hub's edges are
     joined to one row, and adaptive execution splits that join where they are very many.
     Null ends and loops are dropped; a node without another is not in the result.
-    Up to ``DRIVER_EDGES`` the driver does the same at once.
+    Up to ``DRIVER_EDGES`` the driver does the same at once, and the result is to be
+    broadcast; ``edges`` are read twice then, so they should be cheap to read.
     """
-    now = cut(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if _state(now)[0] <= DRIVER_EDGES:  # repeated ones counted each
+        return _at_driver(now)
+    now = cut(now.distinct())
     state = _state(now)
-    if state[0] <= DRIVER_EDGES:
-        ends = now.toArrow()
-        drop_cut(now)
-        return edges.sparkSession.createDataFrame(pa.table(dict(zip(("node", "component"), _least_reached(*(ends.column(c).to_numpy() for c in "ab")), strict=True))), "node long, component long")
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -59,7 +59,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _at_driver(edges: DataFrame) -> DataFrame:
+    ends = edges.toArrow()
+    return F.broadcast(edges.sparkSession.createDataFrame(pa.table(dict(zip(("node", "component"), least_reached(*(ends.column(c).to_numpy() for c in "ab")), strict=True))), "node long, component long"))
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct nodes of edges between ``a`` and ``b``, and the least that each of them reaches."""
     nodes, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
     one, two = codes[: len(a)], codes[len(a) :]

@@ -9,7 +9,7 @@ is linked in blocks, as ``_links`` says, and never gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
 from .common import cut, drop_cut, give_back, partitions
-from .graph import components, join_hot
+from .graph import components, join_hot, least_reached
 
 #: Classes in a block of a family.
 BLOCK = 128
@@ -179,12 +180,14 @@ def linked_classes(docs: DataFrame, by: Comparison, through_ids: bool = True) ->
     named = routed.where("size > 0").groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     # Numbers of written rows don't change any more.
     classes = cut(named.select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), F.monotonically_increasing_id().alias("node")))
-    total = classes.count()
     families = components(routed.where("a is not null").select("a", "b"))
     family = cut(classes.join(families, classes["h1"] == families["node"]).select(classes["node"], "h1", "h2", "rep", "th", F.col("component").alias("family")))
-    asked = _in_families(family, 2, total)
+    if family.count() <= graph.DRIVER_EDGES:
+        links = _few_links(docs, family, by)
+    else:
+        total = classes.count()
+        links = _links(docs, _in_families(family, 2, total), by, total)
     drop_cut(family)
-    links = _links(docs, asked, by, total)
     if through_ids:
         links = links.unionByName(_through_ids(own, classes))
     found = components(links)
@@ -207,20 +210,17 @@ def _through_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
     several = cut(named.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("doc_id", "n"))
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
-        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        return own.sparkSession.createDataFrame([], "a long, b long")
     shared = cut(join_hot(named.select("doc_id", "h1", "h2"), several, ["doc_id"], total).distinct().join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node"))
     least = cut(shared.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")))
-    return join_hot(shared, least, ["doc_id"], total).select(F.col("node").alias("a"), "b").where("a != b")
+    return cut(join_hot(shared, least, ["doc_id"], total).select(F.col("node").alias("a"), "b").where("a != b"))
 
 
-def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> DataFrame:
-    """(a, b) nodes of ``asked`` (node, h1, h2, rep, th, family, blocks) that links join, enough of them to tell the components.
+_EDGES = "family long, a long, b long"
 
-    In rounds, each family is cut into blocks at random, the links in a block are found,
-    and of each component so far one class goes on, until rounds help little.  So a family
-    of very many near copies shrinks by a factor a round.  Then all classes of different
-    components meet, block by block; blocks of one component never do.
-    """
+
+def _placed(docs: DataFrame, asked: DataFrame, by: Comparison) -> DataFrame:
+    """(node, family, blocks, form) of each row of ``asked`` (node, h1, h2, rep, th, family, blocks), from the texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     if asked.count() <= BROADCAST_ROWS:
         few = F.broadcast(asked)
@@ -240,16 +240,33 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
             seen.update(batch["node"].tolist())
             yield batch
 
+    return wanted.mapInPandas(forms, "node long, family long, blocks int, form binary")
+
+
+def _linker(by: Comparison) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For a group of (node, family, form, side, label), the edges between labels that links join; a label is one of the nodes that are linked already."""
+
     def link(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node").sort_values("node", kind="stable")
-        nodes = group["node"].tolist()
-        firsts = by.firsts([np.frombuffer(x, by.dtype) for x in group["form"]], group["side"].tolist(), group["label"].tolist())
-        edges = [(group["family"].iloc[0], nodes[i], nodes[f]) for i, f in enumerate(firsts) if i != f]
+        labels = group["label"].tolist()
+        firsts = by.firsts([np.frombuffer(x, by.dtype) for x in group["form"]], group["side"].tolist(), labels)
+        edges = [(group["family"].iloc[0], a, b) for a, b in sorted({(labels[i], labels[f]) for i, f in enumerate(firsts)}) if a != b]
         return pd.DataFrame(edges, columns=["family", "a", "b"], dtype="int64")
 
-    kinds = "family long, a long, b long"
+    return link
+
+
+def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> DataFrame:
+    """(a, b) nodes of ``asked`` (node, h1, h2, rep, th, family, blocks) that links join, enough of them to tell the components.
+
+    In rounds, each family is cut into blocks at random, the links in a block are found,
+    and of each component so far one class goes on, until rounds help little.  So a family
+    of very many near copies shrinks by a factor a round.  Then all classes of different
+    components meet, block by block; blocks of one component never do.
+    """
+    link, kinds = _linker(by), _EDGES
     block = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
-    placed = wanted.mapInPandas(forms, "node long, family long, blocks int, form binary")
+    placed = _placed(docs, asked, by)
     large = asked.where("blocks > 1").select("node", "family", "blocks")
     some_large = not large.isEmpty()
     if some_large:  # their forms are needed again
@@ -283,6 +300,95 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
     return edges.select("a", "b")
 
 
+def _few_links(docs: DataFrame, family: DataFrame, by: Comparison) -> DataFrame:
+    """(a, b) as ``_links`` gives them, for up to ``graph.DRIVER_EDGES`` rows of ``family`` (node, h1, h2, rep, th, family).
+
+    The rounds are the same.  The driver holds a few numbers of each class, deals the
+    classes to blocks and finds what links reach so far; the workers read texts and
+    link.  So a round is one shuffle, however many partitions the session has.
+    """
+    spark = docs.sparkSession
+    asked = family.toArrow()
+    _, code, size = np.unique(asked.column("family").to_numpy(), return_inverse=True, return_counts=True)
+    blocks = -(-size[code] // BLOCK)
+    asked, blocks = asked.append_column("blocks", pa.array(blocks, pa.int32())).filter(pa.array(size[code] > 1)), blocks[size[code] > 1]
+    if not asked.num_rows:
+        return spark.createDataFrame([], "a long, b long")
+    link = _linker(by)
+    placed = _placed(docs, spark.createDataFrame(asked), by)
+    large = blocks > 1
+    if large.any():  # their forms are needed again
+        placed = cut(placed)
+    block = F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")).cast("int").alias("block")
+    found = placed.select("node", "family", "form", block, F.lit(0).alias("side"), F.col("node").alias("label")).groupBy("family", "block").applyInPandas(link, _EDGES).toArrow()
+    a, b = (found.column(c).to_numpy() for c in "ab")
+    if not large.any():
+        return spark.createDataFrame(pa.table({"a": a, "b": b}))
+    node, of = (asked.column(c).to_numpy()[large] for c in ("node", "family"))
+    draw, active = np.random.default_rng(7), len(node)
+
+    def meet(on: list[str], **columns: np.ndarray) -> DataFrame:
+        kept = F.broadcast(spark.createDataFrame(pa.table(columns)))
+        rows = placed.select("node", "form").join(kept, "node")
+        if "parts" in columns:
+            rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).where("other < first or other >= after")
+            rows = rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+        return rows.groupBy(*on).applyInPandas(link, _EDGES)
+
+    while True:
+        reached, least = least_reached(np.append(a, node), np.append(b, node))
+        label = least[np.searchsorted(reached, node)]
+        first = node == label  # a label is the least node of its component
+        _, code, size = np.unique(of[first], return_inverse=True, return_counts=True)
+        goes = np.flatnonzero(first)[size[code] > 1]
+        if len(goes) * 3 > active * 2:
+            break
+        active = len(goes)
+        if not active:
+            break
+        again, mine = node[goes], of[goes]
+        order = np.lexsort((draw.random(active), mine))
+        again, mine = again[order], mine[order]
+        found = meet(["family", "block"], node=again, family=mine, block=_ranks(mine) // BLOCK, side=np.zeros(active, np.int32), label=again).toArrow()
+        a, b = (np.concatenate((x, found.column(c).to_numpy())) for x, c in ((a, "a"), (b, "b")))
+    links = spark.createDataFrame(pa.table({"a": a, "b": b}))
+    open_ = np.isin(of, of[goes])
+    if open_.any():
+        links = links.unionByName(cut(meet(["family", "low", "high"], **_unlike_places(node[open_], of[open_], label[open_], draw)).select("a", "b")))
+    drop_cut(placed)
+    return links
+
+
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """The place of each number among its equals, which are next to each other."""
+    first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if len(groups) else np.zeros(0, np.int64)
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
+
+
+def _unlike_places(node: np.ndarray, family: np.ndarray, label: np.ndarray, draw: np.random.Generator) -> dict[str, np.ndarray]:
+    """Where each node meets others: its block ``side`` among the ``parts`` of its family, and the blocks from ``first`` to before ``after``, of its own label, that it doesn't meet.
+
+    As in ``_unlike_blocks``: a label of ``BLOCK`` nodes or more has blocks of its own,
+    the nodes of smaller ones share blocks, and these meet themselves as well.
+    """
+    out = {k: np.zeros(len(node), np.int64) for k in ("side", "first", "after", "parts")}
+    order = np.lexsort((node, label, family))
+    for mine in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+        _, code, size = np.unique(label[mine], return_inverse=True, return_counts=True)
+        small = size < BLOCK
+        shuffled = draw.permutation(np.flatnonzero(small))
+        part = np.zeros(len(size), np.int64)
+        part[shuffled] = (np.cumsum(size[shuffled]) - size[shuffled]) // BLOCK
+        mixed = int(part[small].max()) + 1 if small.any() else 0
+        wide = np.where(small, 0, -(-size // BLOCK))
+        after = mixed + np.cumsum(wide)
+        first = after - wide
+        out["side"][mine] = np.where(small[code], part[code], first[code] + _ranks(code) // BLOCK)
+        out["first"][mine], out["after"][mine] = np.where(small, 0, first)[code], np.where(small, 0, after)[code]
+        out["parts"][mine] = mixed + int(wide.sum())
+    return {"node": node, "family": family, "label": label} | out
+
+
 def _unlike_blocks(labelled: DataFrame, open_: DataFrame) -> DataFrame | None:
     """(node, family, label, low, high, side) for every two blocks of a family in which sets have different labels; None if there are none.
 

@@ -229,3 +229,27 @@ def test_components_at_the_driver_and_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "DRIVER_EDGES", -1)
     assert sorted(map(tuple, components(edges).collect())) == few and len(states) > 3
     assert (60, 0) in few and (249, 150) in few and (-5, -7) in few
+
+
+def test_few_classes_are_linked_in_few_jobs(spark, monkeypatch):
+    """Large families take the same links by few stages as by many: in blocks, in rounds and between unlike blocks."""
+    monkeypatch.setattr(linking, "BLOCK", 3)
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(draw.choice([1, 2, 3, 8, 12])):
+            words[draw.randrange(90)] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += near_copies(draw, 10, 10, 60)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    jobs = {}
+    for most in (graph.DRIVER_EDGES, -1):
+        monkeypatch.setattr(graph, "DRIVER_EDGES", most)
+        spark.sparkContext.setJobGroup(f"links {most}", "")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 3, 80, 100).collect()}
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"links {most}"))
+        assert got == brute(rows, 3, 80, 100)
+    assert 2 * jobs[200_000] < jobs[-1]
