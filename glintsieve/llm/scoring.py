@@ -6,6 +6,8 @@ are joined to the counts, so neither the driver nor a worker holds a corpus' voc
 The attention model's class and id frequencies, and how classes follow ids, are those of
 all training documents.  Its attention weights begin on a sample at the driver; then
 every task trains them on all of its training documents, and their mean is taken.
+Each text is split into subword ids once; they are written to the shared folder and read
+from there for the transitions, for training and for the scores.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attention import Adam, AttentionModel
-from .common import LOWER, UPPER, cut, document_remainder
+from .common import LOWER, UPPER, cut, document_remainder, new_folder, remove_folder
 from .subwords import WordCache, word_cache
 
 #: Words whose counts every worker has.
@@ -112,13 +114,37 @@ def id_counts(counts: DataFrame, vocabulary: str, size: int, end_id: int) -> np.
     return out
 
 
-def _batched(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, together: int) -> Iterator[list[np.ndarray]]:
+def encoded(docs: DataFrame, usable: Column, vocabulary: str) -> tuple[DataFrame, str]:
+    """(doc_id, text, usable, ids) of each row of ``docs`` (doc_id, text), written to a shared folder, which is given too.
+
+    ``ids`` are the text's subword ids and an end, two bytes each if all of the vocabulary fits, else four.
+    """
+    end_id, kind = _end_and_kind(vocabulary)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("usable", pa.bool_()), ("ids", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = word_cache(vocabulary)
+        for batch in batches:
+            ids = [text_ids(text.as_py(), cache, end_id).astype(kind).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], schema=schema)
+
+    folder = new_folder(docs.sparkSession, "encoded")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows.mapInArrow(encode, "doc_id long, text string, usable boolean, ids binary").write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema("doc_id long, text string, usable boolean, ids binary").parquet(folder), folder
+
+
+def _end_and_kind(vocabulary: str) -> tuple[int, str]:
+    tokenizer = word_cache(vocabulary).tokenizer
+    return tokenizer.token_to_id("<|endoftext|>"), "<u2" if tokenizer.get_vocab_size() <= 2**16 else "<u4"
+
+
+def _batched(batches: Iterator[pa.RecordBatch], kind: str, together: int) -> Iterator[list[np.ndarray]]:
     """The ids of all texts, so many texts at once that they have ``together`` ids."""
-    cache = word_cache(vocabulary)
     texts, held = [], 0
     for batch in batches:
-        for text in batch.column(0):
-            texts.append(text_ids(text.as_py(), cache, end_id))
+        for ids in batch.column(0):
+            texts.append(np.frombuffer(ids.as_py(), kind).astype(np.int64))
             held += len(texts[-1])
             if held >= together:
                 yield texts
@@ -127,8 +153,8 @@ def _batched(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, to
         yield texts
 
 
-def transition_counts(texts: DataFrame, model: AttentionModel, vocabulary: str) -> np.ndarray:
-    """How often each class follows each input in all ``texts``."""
+def transition_counts(texts: DataFrame, model: AttentionModel, kind: str) -> np.ndarray:
+    """How often each class follows each input in all ``texts`` (ids)."""
     shape = model.weights["direct"].shape
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
     shared = texts.sparkSession.sparkContext.broadcast(model)
@@ -136,7 +162,7 @@ def transition_counts(texts: DataFrame, model: AttentionModel, vocabulary: str)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         total = np.zeros(shape, np.int64)
-        for held in _batched(batches, vocabulary, own.end_id, TOGETHER):
+        for held in _batched(batches, kind, TOGETHER):
             total += own.transitions(held)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total.reshape(-1)[some], pa.int64())], schema=schema)
@@ -147,8 +173,8 @@ def transition_counts(texts: DataFrame, model: AttentionModel, vocabulary: str)
     return out
 
 
-def train_in_tasks(texts: DataFrame, model: AttentionModel, vocabulary: str) -> None:
-    """Sets the attention weights to the mean, by trained ids, of what each task makes of them with all of its ``texts``."""
+def train_in_tasks(texts: DataFrame, model: AttentionModel, kind: str) -> None:
+    """Sets the attention weights to the mean, by trained ids, of what each task makes of them with all of its ``texts`` (ids)."""
     names = [k for k in model.weights if k != "direct"]
     schema = pa.schema([("part", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("numbers", pa.binary())])
     shared = texts.sparkSession.sparkContext.broadcast(model)
@@ -158,7 +184,7 @@ def train_in_tasks(texts: DataFrame, model: AttentionModel, vocabulary: str) ->
         own = copy.copy(shared.value)
         own.weights = {k: w.copy() for k, w in own.weights.items()}
         adam, draw, n = Adam(own, direct=False), np.random.default_rng(9), 0
-        for held in _batched(batches, vocabulary, own.end_id, TRAINED_TOGETHER):
+        for held in _batched(batches, kind, TRAINED_TOGETHER):
             inputs, targets, _ = own.lay_out(held)
             order = draw.permutation(len(inputs))
             for i in range(0, len(order), TRAINED_WINDOWS):
@@ -190,17 +216,26 @@ def learn(docs: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAM
     About ``sample`` documents only give the tasks one common beginning.  The means depend
     on how the rows are dealt to tasks, as sums of rounded numbers do, but more.
     """
+    rows, folder = encoded(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), F.lit(True), vocabulary)
+    model = learn_encoded(rows, counts, vocabulary, sample, epochs)
+    remove_folder(docs.sparkSession, folder)
+    return model
+
+
+def learn_encoded(rows: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAMPLE_DOCUMENTS, epochs: int = 2) -> AttentionModel:
+    """``learn`` from the usable rows of what ``encoded`` gives."""
     words = word_cache(vocabulary)
-    end_id = words.tokenizer.token_to_id("<|endoftext|>")
+    end_id, kind = _end_and_kind(vocabulary)
     model = AttentionModel(id_counts(counts, vocabulary, words.tokenizer.get_vocab_size(), end_id))
     model.end_id = end_id
-    everything = docs.select(F.col("text").cast("string").alias("text"))
-    table = transition_counts(everything, model, vocabulary)
+    docs = rows.where("usable")
+    everything, whole = docs.select("ids"), docs.select("text")
+    table = transition_counts(everything, model, kind)
     if not table.any():
         return model
     model.start_from(table)
     share = min(1.0, sample / max(1, docs.count()))
-    chosen = everything.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = whole.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
     texts, held = [], 0
     for row in chosen.distinct().orderBy(F.xxhash64("text")).limit(2 * sample).toLocalIterator():
         texts.append(text_ids(row["text"], word_cache(vocabulary), end_id))
@@ -209,16 +244,12 @@ def learn(docs: DataFrame, counts: DataFrame, vocabulary: str, sample: int = SAM
             break
     if texts:
         model.train(texts, epochs, direct=False)
-    train_in_tasks(everything, model, vocabulary)
+    train_in_tasks(everything, model, kind)
     return model
 
 
 def text_ids(text: str | None, cache: WordCache, end_id: int) -> np.ndarray:
-    return _ids(words_of(text), cache, end_id)
-
-
-def _ids(words: list[bytes], cache: WordCache, end_id: int) -> np.ndarray:
-    ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
+    ids = np.frombuffer(b"".join(map(cache.__getitem__, words_of(text))), "<u4")
     return np.append(ids, end_id).astype(np.int64)
 
 
@@ -243,19 +274,20 @@ def score_documents(docs: DataFrame, usable: Column, vocabulary: str, frequent:
     ends = counts.where("word = X''").first()
     end_count = int(ends["n"]) if ends else 0
     floor = np.log10(train_tokens + SMOOTHING * (distinct + 1))
-    shared = spark.sparkContext.broadcast((known, learn(training, counts, vocabulary)))
+    rows, folder = encoded(docs, usable, vocabulary)
+    _, kind = _end_and_kind(vocabulary)
+    shared = spark.sparkContext.broadcast((known, learn_encoded(rows, counts, vocabulary)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("total", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         frequent_counts, model = shared.value
-        cache = word_cache(vocabulary)
         end = np.log10(end_count + SMOOTHING)
         for batch in batches:
             sizes, knowns, totals, rares, scores = [], [], [], [], []
             held: list[np.ndarray] = []
             held_ids = 0
-            for text in batch.column(1):
+            for text, ids in zip(batch.column(1), batch.column(2), strict=True):
                 words = words_of(text.as_py())
                 n = np.fromiter(map(frequent_counts.get, words, repeat(0)), np.int64, len(words))
                 seen = n > 0
@@ -264,7 +296,7 @@ def score_documents(docs: DataFrame, usable: Column, vocabulary: str, frequent:
                 knowns.append(int(seen.sum()) + (end_count > 0))
                 totals.append(float(np.log10(n[seen] + SMOOTHING).sum() + end + (len(rare) * np.log10(SMOOTHING) if everything else 0)))
                 rares.append([] if everything else rare)
-                held.append(_ids(words, cache, model.end_id))
+                held.append(np.frombuffer(ids.as_py(), kind).astype(np.int64))
                 held_ids += len(held[-1])
                 if held_ids >= TOGETHER:
                     scores.append(model.scores(held))
@@ -276,9 +308,9 @@ def score_documents(docs: DataFrame, usable: Column, vocabulary: str, frequent:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     kinds = "doc_id long, n_tokens long, n_known long, total double, score double, rare array<binary>"
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, kinds)
+    scored = cut(rows.select("doc_id", "text", "ids").mapInArrow(score, kinds).withColumn("row", F.monotonically_increasing_id()))
+    remove_folder(spark, folder)
     if not everything:
-        scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
         asked = scored.select("row", F.explode("rare").alias("word"))
         found = asked.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTHING))).alias("more"), F.count("n").alias("also"))
         scored = scored.drop("rare").join(found, "row", "left").withColumns({"total": F.col("total") + F.coalesce("more", F.lit(0.0)), "n_known": F.col("n_known") + F.coalesce("also", F.lit(0))})

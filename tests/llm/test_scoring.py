@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from glintsieve.llm import scoring
+from glintsieve.llm import common, scoring
 from glintsieve.llm.attention import STRIDE, AttentionModel
 from glintsieve.llm.common import VOCABULARY
 from glintsieve.llm.subwords import word_cache
@@ -126,3 +127,20 @@ def test_all_training_texts_give_transitions_and_weights(spark):
     assert np.allclose(model.weights["direct"], again.weights["direct"], atol=1e-5)
     assert (model.weights["value"] != again.weights["value"]).any(axis=1)[np.unique(again.lay_out(texts)[0])].all()
     assert model.scores(texts).sum() > again.scores(texts).sum()
+
+
+def test_texts_are_split_into_ids_once(spark):
+    """What is learnt follows the written ids, not the texts again; all rows are written, odd ones too."""
+    texts = ["The cat sat on THE mat", "", None, " \n", "ÀÉ x-y z...", "cat " * 300] + [f"the {i} cat w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(i if i % 7 else None, t, i % 3 > 0) for i, t in enumerate(texts)], "doc_id long, text string, own boolean")
+    rows, folder = scoring.encoded(docs, docs["own"], VOCABULARY)
+    cache = word_cache(VOCABULARY)
+    end_id = cache.tokenizer.token_to_id("<|endoftext|>")
+    got = rows.collect()
+    assert len(got) == len(texts) and sum(r.usable for r in got) == sum(i % 3 > 0 for i in range(len(texts)))
+    assert all(np.array_equal(np.frombuffer(r.ids, "<u2"), scoring.text_ids(r.text, cache, end_id)) for r in got)
+    counts = scoring.word_counts(docs.where("own"))
+    model = scoring.learn_encoded(rows, counts, VOCABULARY)
+    again = scoring.learn_encoded(rows.withColumn("text", F.lit(None).cast("string")), counts, VOCABULARY)
+    assert np.array_equal(model.weights["direct"], again.weights["direct"]) and (again.weights["direct"][0] != again.weights["direct"][1]).any()
+    common.remove_folder(spark, folder)
