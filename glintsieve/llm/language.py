@@ -150,8 +150,9 @@ def learn(docs: DataFrame, usable: Column, per_language: int = SAMPLE_PER_LANGUA
     each = split.groupBy("lang", "hash", "word").agg(F.count(F.lit(1)).alias("n"))
     totals = each.groupBy("lang", "word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("texts"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for row in totals.toLocalIterator():
-        counts[row["lang"]][row["word"]] = row["total"]
+    found = totals.select("lang", "word", "total").toArrow()  # in one job; a local iterator runs one for each partition
+    for lang, word, total in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        counts[lang][word] = total
     # The share of each text's words that other texts of its language have: half of what nearly all texts reach is the least.
     known = each.join(totals, ["lang", "word"]).groupBy("lang", "hash").agg((F.sum(F.when(F.col("texts") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("known"))
     reached = known.groupBy("lang").agg(F.percentile_approx("known", REACHED, 10_000).alias("known")).collect()

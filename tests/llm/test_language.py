@@ -73,3 +73,20 @@ def test_texts_of_no_learnt_language_do_not_fit(spark):
         assert not any(r.language.fits for r in got if r.lang is None)
         assert all(r.language.fits for r in got if r.lang == "es")
     assert language.grams_of("ab", 1) == ["a", "b"]
+
+
+def test_learning_takes_no_more_jobs_for_more_partitions(spark):
+    docs = spark.createDataFrame([(w * 3, lang) for lang, w in (("es", "gato "), ("de", "hund "))] * 4, "text string, lang string")
+    kept, jobs = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.sparkContext.setJobGroup(f"learn {n}", "")
+            assert language.learn(docs, F.lit(True)).languages == ["de", "es"]
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"learn {n}")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
