@@ -13,8 +13,8 @@ import os
 import re
 from array import array
 
-#: Words, and runs of letters, in each of the two generations of a Python worker's caches.
-CACHED_WORDS, CACHED_RUNS = 100_000, 150_000
+#: Words and runs of letters in each of the two generations of a Python worker's cache.
+CACHED_WORDS = 180_000
 
 # Letters beyond ASCII that lower-casing and canonical composition keep single.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -28,64 +28,66 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Bounded(dict):
-    """Remembers results of a function: the last ``limit`` new ones, and as many before that were not asked for since."""
-
-    def __init__(self, made, limit: int):
-        self.made, self.limit = made, limit
-        self.before: dict[bytes, bytes] = {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        value = self.before.pop(key, None)
-        if value is None:
-            value = self.made(key)
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            super().clear()
-        self[key] = value
-        return value
-
-    def clear(self) -> None:
-        super().clear()
-        self.before.clear()
+class WordCache(dict):
+    """Maps a word (UTF-8, a run without ASCII white space) to its ids, packed as little-endian unsigned 32 bits.
 
-
-class WordCache(_Bounded):
-    """Maps a word (UTF-8, a run without ASCII white space) to its ids, packed as little-endian unsigned 32 bits."""
+    It remembers the last ``limit`` new words, and as many before that were not asked
+    for since.  A word's run of letters is remembered as the word that it is by itself.
+    """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__(self.encode, limit)
+        super().__init__()
+        self.limit = limit
+        self.before: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.shown = _visible_bytes()
-        self.runs = _Bounded(self._run, CACHED_RUNS)
-        self.marks = _Bounded(self._run, 10_000)
 
     def clear(self) -> None:
         super().clear()
-        self.runs.clear()
+        self.before.clear()
 
-    def _run(self, run: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
+        value = self.before.pop(word, None)
+        if value is None:
+            value = self.encode(word)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            super().clear()
+        self[word] = value
+        return value
+
+    def _run(self, run: str) -> bytes:
         """The ids of a lower-cased run that is a piece of its own: the model alone is enough."""
-        return _packed([t.id for t in self.model.tokenize(run.decode() if run.isascii() else "".join(map(self.shown.__getitem__, run)))])
+        return _packed([t.id for t in self.tokenize(run)])
 
     def encode(self, word: bytes) -> bytes:
         letters = word.rstrip(_MARKS)
-        marks = word[len(letters) :]
         if letters.isalpha():  # of ASCII
             run = letters.lower()
+            if run == word:
+                return self._run(word.decode())
         elif letters.isascii() or not _LETTERS.fullmatch(text := letters.decode("utf-8", "surrogatepass")):
             return _packed(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
         else:
             run = text.lower().encode()
-        return self.runs[run] + self.marks[marks] if marks else self.runs[run]
+            if run == word:
+                return self._run("".join(map(self.shown.__getitem__, run)))
+        marks = word[len(letters) :]
+        return self[run] + self[marks] if marks else self[run]
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text, four bytes each."""
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split())) if text else b""
+        if not text:
+            return b""
+        raw = text.encode("utf-8", "surrogatepass")
+        # The tokenizer composes before it lower-cases: only marks of U+0300 to U+037F join ASCII letters.
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 def _packed(ids: list[int]) -> bytes:

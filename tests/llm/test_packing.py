@@ -35,6 +35,18 @@ def test_cached_words_give_the_tokenizers_ids(tokenizer):
     assert cache.packed(None) == b""
 
 
+def test_a_word_is_split_once_in_any_case(tokenizer):
+    cache = WordCache(VOCABULARY)
+    asked = []
+    split = cache.tokenize
+    cache.tokenize = lambda run: asked.append(run) or split(run)
+    text = "Word word WORD wOrd, word, (word) Éa éa éa."
+    assert np.frombuffer(cache.packed(text), "<u4").tolist() == ids_of(tokenizer, text)
+    assert sorted(asked) == sorted(set(asked)) and "word" in asked and b"Word" not in cache
+    for text in ("J\u030c j\u030c J H\u0331 h\u0331", "T\u0308t\u0308 W\u030a Y\u030a", "K\u0301 \u212a Å"):  # some compose in one case only
+        assert np.frombuffer(cache.packed(text), "<u4").tolist() == ids_of(tokenizer, text)
+
+
 def naive_best_fit(lengths, capacity):
     bins = []
     for length in sorted(lengths, reverse=True):
