@@ -217,6 +217,27 @@ def test_few_files_and_few_texts(spark):
     assert asked.where(linking.among(ids.where("false"), F.col("id"))).collect() == []
 
 
+def test_no_job_outlives_the_query_that_is_cut(spark):
+    """One side of a join is empty, and known to be so while the other one still reads a shuffle."""
+
+    def slowly(seconds, rows):
+        def wait(batches):
+            for batch in batches:
+                time.sleep(seconds)
+                yield batch.head(rows)
+
+        return wait
+
+    many, few = common.cut(spark.range(300).coalesce(1)), common.cut(spark.range(30).coalesce(1))
+    none = many.mapInPandas(slowly(2, 0), "id long")
+    some = few.groupBy("id").agg(F.count(F.lit(1)).alias("n")).mapInPandas(slowly(6, 30), "id long, n long")
+    before = spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None)
+    assert common.cut(none.join(some, "id")).count() == 0
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert common.cut(many.join(few, "id", "left_semi").where("id >= 10")).count() == 20
+    assert spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None) == before
+
+
 def test_components_at_the_driver_and_in_rounds(spark, monkeypatch):
     """Both ways give the same; few edges take no rounds of stages."""
     draw = random.Random(9)
