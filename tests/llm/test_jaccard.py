@@ -238,6 +238,24 @@ def test_no_job_outlives_the_query_that_is_cut(spark):
     assert spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None) == before
 
 
+def test_an_empty_side_of_a_merge_join_leaves_no_job(spark):
+    """Both sides are stages of their own; the empty one ends while the only row of the other is still in the making."""
+
+    def nothing(batches):
+        for _ in batches:
+            yield from ()
+
+    def slowly(batches):
+        for batch in batches:
+            time.sleep(8)
+            yield batch
+
+    none = common.cut(spark.range(0, 300, 1, 2)).mapInPandas(nothing, "id long")
+    some = common.cut(spark.range(0, 1, 1, 2)).mapInPandas(slowly, "id long")
+    assert common.cut(none.join(some.hint("merge"), "id")).count() == 0
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_components_at_the_driver_and_in_rounds(spark, monkeypatch):
     """Both ways give the same; few edges take no rounds of stages."""
     draw = random.Random(9)
