@@ -74,23 +74,27 @@ class AttentionModel:
         second = np.arange(len(text)) + text + 1
         return np.concatenate((blocks[second - 1], blocks[second]), axis=1), targets.reshape(-1, STRIDE), text
 
-    def _attend(self, inputs: np.ndarray) -> tuple:
+    def _attend(self, inputs: np.ndarray, fits: bool = False) -> tuple:
         w = self.weights
         query, key, value = w["query"][inputs[:, STRIDE:]], w["key"][inputs], w["value"][inputs]
         scores = query @ key.transpose(0, 2, 1)
         scores += w["bias"] + self.mask
-        scores -= scores.max(axis=2, keepdims=True)
+        if not fits:
+            scores -= scores.max(axis=2, keepdims=True)
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
+        scores /= _totals(scores)
         return query, key, value, scores, scores @ value
 
-    def fits(self) -> bool:
-        """Whether no score or logit can be so large that its exponential overflows; then none needs its maximum taken off."""
+    def fits(self, direct: float | None = None) -> bool:
+        """Whether no score or logit can be so large that its exponential overflows; then none needs its maximum taken off.
+
+        ``direct``: the largest of the direct logits' sizes, if it is known.
+        """
         w = self.weights
         longest = [float(np.sqrt((w[name].astype(np.float64) ** 2).sum(axis=1)).max()) for name in ("query", "key")]
         score = longest[0] * longest[1] + float(np.abs(w["bias"]).max())
         # A context is a mean of values, so each of its numbers is at most the largest of them.
-        logit = float(np.abs(w["direct"]).max()) + float((np.abs(w["value"]).max(axis=0) @ np.abs(w["out"])).max())
+        logit = (float(np.abs(w["direct"]).max()) if direct is None else direct) + float((np.abs(w["value"]).max(axis=0) @ np.abs(w["out"])).max())
         return max(score, logit) < LARGEST
 
     def scores(self, texts: Sequence[np.ndarray]) -> np.ndarray:
@@ -109,7 +113,7 @@ class AttentionModel:
                 scores -= scores.max(axis=2, keepdims=True)
             np.exp(scores, out=scores)
             context = scores @ w["value"].take(part, axis=0)
-            context /= scores.sum(axis=2, keepdims=True)
+            context /= _totals(scores)
             logits = context.reshape(-1, WIDTH) @ w["out"]
             logits += w["direct"].take(now, axis=0)
             goal = targets[i : i + TOGETHER].reshape(-1)
@@ -134,14 +138,13 @@ class AttentionModel:
         base = np.exp(self.weights["direct"][0].astype(np.float64))
         self.weights["direct"] = np.log((table + prior * base) / (table.sum(axis=1, keepdims=True) + prior)).astype(np.float32)
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, direct: bool = True) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss in nats, and its gradients; without ``direct``, those of the other weights."""
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, direct: bool = True, fits: bool = False) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss in nats, and its gradients; without ``direct``, those of the other weights.  ``fits``: what the method says."""
         w = self.weights
-        query, key, value, share, context = self._attend(inputs)
+        query, key, value, share, context = self._attend(inputs, fits)
         now, every = inputs[:, STRIDE:].reshape(-1), inputs.reshape(-1)
         goal = targets.reshape(-1)
         rows = np.flatnonzero(goal >= 0)
-        classes = self.class_of[goal[rows]]
         flat = context.reshape(-1, WIDTH)
         real = np.zeros(len(goal), flat.dtype)
         real[rows] = 1 / max(1, len(rows))
@@ -149,35 +152,35 @@ class AttentionModel:
         d_direct = np.zeros((len(now), self.classes), flat.dtype) if direct else None
         total, picked = np.empty_like(real), np.empty_like(real)
         at_class = np.zeros(len(goal), np.int64)
-        at_class[rows] = classes
+        at_class[rows] = self.class_of[goal[rows]]
         ones = np.ones(self.classes, flat.dtype)
         # So many rows at a time that their logits stay in the processor's cache; the shares are never divided out.
         for i in range(0, len(goal), IN_CACHE):
             part = slice(i, i + IN_CACHE)
             logits = flat[part] @ w["out"]
             logits += w["direct"].take(now[part], axis=0)
-            logits -= logits.max(axis=1, keepdims=True)
-            picked[part] = logits[np.arange(len(logits)), at_class[part]]
+            if not fits:
+                logits -= logits.max(axis=1, keepdims=True)
+            row, own = np.arange(len(logits)), at_class[part]
+            picked[part] = logits[row, own]
             np.exp(logits, out=logits)
             total[part] = logits @ ones
+            logits[row, own] -= total[part]
             scale = (real[part] / total[part])[:, None]
             d_flat[part] = (logits @ w["out"].T) * scale
             d_out += (flat[part] * scale).T @ logits
             if direct:
                 np.multiply(logits, scale, out=d_direct[part])
         loss = float((np.log(total[rows]) - picked[rows]).mean()) if len(rows) else 0.0
-        d_flat -= w["out"].T.take(at_class, axis=0) * real[:, None]
-        d_out -= _scattered(at_class, flat * real[:, None], self.classes).T
         d_context = d_flat.reshape(context.shape)
         d_share = d_context @ value.transpose(0, 2, 1)
-        d_share -= (d_context * context).sum(axis=2, keepdims=True)
+        d_share -= np.einsum("bsw,bsw->bs", d_context, context)[:, :, None]
         d_share *= share
         d_value = share.transpose(0, 2, 1) @ d_context
         d_key = d_share.transpose(0, 2, 1) @ query
         both = _scattered(every, np.concatenate((d_key, d_value), axis=2).reshape(len(every), -1), len(w["key"]))
         out = {"out": d_out, "bias": d_share.sum(axis=0), "key": both[:, :WIDTH], "value": both[:, WIDTH:], "query": _scattered(now, (d_share @ key).reshape(len(now), -1), len(w["query"]))}
         if direct:
-            d_direct[rows, classes] -= real[rows]
             out["direct"] = _scattered(now, d_direct, len(w["direct"]))
         return loss, out
 
@@ -211,11 +214,12 @@ class Adam:
         names = [k for k in model.weights if direct or k != "direct"]
         self.mean = {k: np.zeros_like(model.weights[k]) for k in names}
         self.square = {k: np.zeros_like(model.weights[k]) for k in names}
+        self.largest = None if direct else float(np.abs(model.weights["direct"]).max())
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, rate: float) -> float:
         """The loss before the step."""
         self.steps += 1
-        loss, grads = self.model.gradients(inputs, targets, self.direct)
+        loss, grads = self.model.gradients(inputs, targets, self.direct, self.model.fits(self.largest))
         for k, g in grads.items():
             mean, square = self.mean[k], self.square[k]
             mean += np.float32(0.1) * (g - mean)
@@ -226,6 +230,11 @@ class Adam:
         return loss
 
 
+def _totals(scores: np.ndarray) -> np.ndarray:
+    """The sums over the last axis, which stays; a product is faster than a sum of short rows."""
+    return (scores.reshape(-1, scores.shape[-1]) @ np.ones(scores.shape[-1], scores.dtype)).reshape(*scores.shape[:-1], 1)
+
+
 def _scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     """Sums of the rows of ``values`` that belong to each row number."""
     small = at.astype(np.int16) if rows <= 2**15 else at  # short numbers are sorted by radix

@@ -100,6 +100,21 @@ def test_gradients():
         assert abs((up - down) / 2e-4 - g.reshape(-1)[at]) < 1e-3 * max(1, abs(g.reshape(-1)[at])), name
 
 
+def test_gradients_without_maxima_are_the_same():
+    """Where no exponential can overflow; a loss and a position without a target as well."""
+    draw = np.random.default_rng(6)
+    model = AttentionModel(draw.integers(1, 50, 120))
+    for w in model.weights.values():
+        w += draw.standard_normal(w.shape).astype(np.float32) * 0.3
+    inputs, targets, _ = model.lay_out(random_texts(draw, 30, 120))
+    assert (targets < 0).any() and model.fits() and model.fits() == model.fits(float(np.abs(model.weights["direct"]).max()))
+    loss, grads = model.gradients(inputs, targets)
+    other, again = model.gradients(inputs, targets, fits=True)
+    assert abs(loss - other) < 1e-5 and grads.keys() == again.keys() == model.weights.keys()
+    assert all(np.allclose(grads[k], again[k], rtol=1e-3, atol=1e-6) for k in grads)
+    assert not model.fits(100.0) and AttentionModel(np.ones(5)).fits(0.0)
+
+
 def test_training_beats_counts():
     draw = np.random.default_rng(4)
     # Each id mostly follows the one two places before it: only attention can tell.
