@@ -186,6 +186,7 @@ class Prints:
     """Texts compared by the likeness of their fingerprints, ``least`` or more; empty texts link with nothing."""
 
     dtype = np.dtype(np.uint8)
+    sure = False  # bands are sampled
 
     def __init__(self, least: float):
         self.least = least

@@ -283,6 +283,7 @@ class Shingles:
     """Texts compared by the Jaccard of their sets of shingles, num/den or more; ``frequent`` is broadcast."""
 
     dtype = np.dtype(np.uint64)
+    sure = True
 
     def __init__(self, words: int, num: int, den: int, frequent: Broadcast):
         self.words, self.num, self.den, self.frequent = words, num, den, frequent

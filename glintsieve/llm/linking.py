@@ -15,6 +15,7 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .graph import components, join_hot, least_reached
 
 #: Classes in a block of a family.
 BLOCK = 128
+#: A family of more blocks, if links leave its sets apart, isn't compared whole: its sets meet by their keys.
+MEET_BLOCKS = 8
 #: Routing buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
 #: Up to so many rows, two numbers each, the candidates' ids are broadcast; beyond, 8 bytes of each, and only rows that these let through are shuffled.
@@ -37,6 +40,8 @@ class Comparison(Protocol):
 
     #: The numbers that forms are made of.
     dtype: np.dtype
+    #: Whether any two forms that link share a key; else more links are found where whole families are compared.
+    sure: bool
 
     def forms(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """What texts are compared by; an empty form links with nothing."""
@@ -243,6 +248,57 @@ def _placed(docs: DataFrame, asked: DataFrame, by: Comparison) -> DataFrame:
     return wanted.mapInPandas(forms, "node long, family long, blocks int, form binary")
 
 
+def _by_keys(placed: DataFrame, members: DataFrame, by: Comparison) -> tuple[DataFrame, np.ndarray]:
+    """(node, family, label) of ``members`` (node, family, label), with new families in which all meet that have unlike labels and share a key; and whose members these are.
+
+    Families in which very many pairs share several keys are left out: compared whole
+    they take fewer copies.  A new family is one key, or several that few have; keys that
+    the same sets have count once.  The driver holds a few numbers of each such key, and
+    16 bytes go to all workers.
+    """
+
+    def keys(known: Broadcast | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), TOGETHER):
+                    batch = whole.iloc[at : at + TOGETHER]
+                    made = [np.unique(by.keys(np.frombuffer(x, by.dtype))).view(np.int64) for x in batch["form"]]
+                    rows = batch.loc[batch.index.repeat([len(x) for x in made]), ["node", "family", "label"]].assign(key=np.concatenate(made))
+                    if known:
+                        asked, family = known.value
+                        place = np.minimum(np.searchsorted(asked, rows["key"]), len(asked) - 1)
+                        rows = rows.assign(family=family[place])[asked[place] == rows["key"]].drop_duplicates(["node", "family"])
+                    yield rows[["node", "family", "label", "key"]]
+            give_back()
+
+        return emit
+
+    context, kinds = placed.sparkSession.sparkContext, "node long, family long, label long, key long"
+    forms = placed.where(F.col("blocks") > MEET_BLOCKS).select("node", "form").join(members, "node")
+    digests = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"d{i}") for i in (1, 2)]
+    met = forms.mapInPandas(keys(None), kinds).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"), F.min("label").alias("low"), F.max("label").alias("high"), *digests)
+    # A key is of one family.
+    found = cut(met.where("low != high").groupBy("family", "n", "d1", "d2").agg(F.min("key").alias("key"), F.min("low").alias("low")).select("key", "n", "family", "low"))
+    some = found.toArrow()
+    drop_cut(found)
+    key, n, of, low = (some.column(c).to_numpy() for c in ("key", "n", "family", "low"))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    families, copies = sizes.column("family").to_numpy(), sizes.column("n").to_numpy()
+    order = np.argsort(families)
+    families, copies = families[order], (copies * -(-copies // BLOCK))[order]
+    place = np.searchsorted(families, of)
+    fewer = np.bincount(place, n * -(-n // BLOCK), len(families)) < copies
+    key, n, low = (x[fewer[place]] for x in (key, n, low))
+    order = np.lexsort((key, low, n >= BLOCK))  # keys of one label are next to each other
+    family = np.empty(len(key), np.int64)
+    family[order] = -1 - np.where(n[order] >= BLOCK, np.arange(len(key)) + np.sum(n), np.cumsum(n[order]) // BLOCK)
+    order = np.argsort(key)
+    if not len(key):
+        return members.where("false"), families[fewer]
+    known = context.broadcast((key[order], family[order]))
+    return cut(forms.mapInPandas(keys(known), kinds).select("node", "family", "label").distinct()), families[fewer]
+
+
 def _linker(by: Comparison) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """For a group of (node, family, form, side, label), the edges between labels that links join; a label is one of the nodes that are linked already."""
 
@@ -262,7 +318,9 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
     In rounds, each family is cut into blocks at random, the links in a block are found,
     and of each component so far one class goes on, until rounds help little.  So a family
     of very many near copies shrinks by a factor a round.  Then all classes of different
-    components meet, block by block; blocks of one component never do.
+    components meet, block by block; blocks of one component never do.  In a family of
+    more than ``MEET_BLOCKS`` only those meet that share a key, as all do that link,
+    if that takes fewer copies of them.
     """
     link, kinds = _linker(by), _EDGES
     block = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
@@ -291,7 +349,14 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
         again = placed.select("node", "form").join(again, "node").select("node", "family", "form", block(turn).alias("block"), F.lit(0).alias("side"), "label")
         edges, older = cut(edges.unionByName(again.groupBy("family", "block").applyInPandas(link, kinds))), edges
         drop_cut(older)
-    met = _unlike_blocks(labelled, active.select("family").distinct())
+    apart = labelled.join(active.select("family").distinct(), "family", "left_semi")
+    if by.sure:
+        many = apart.join(large.where(F.col("blocks") > MEET_BLOCKS).select("family").distinct(), "family", "left_semi")
+        if not many.isEmpty():
+            keyed, families = _by_keys(placed, many, by)
+            done = F.broadcast(active.sparkSession.createDataFrame(pa.table({"family": families})))  # large ones, each of many rows
+            apart = apart.join(done, "family", "left_anti").select("node", "family", "label").unionByName(keyed)
+    met = _unlike_blocks(apart)
     if met is not None:
         last = placed.select("node", "form").join(met, "node").groupBy("family", "low", "high").applyInPandas(link, kinds)
         edges, older = cut(edges.unionByName(last)), edges
@@ -303,7 +368,7 @@ def _links(docs: DataFrame, asked: DataFrame, by: Comparison, total: int) -> Dat
 def _few_links(docs: DataFrame, family: DataFrame, by: Comparison) -> DataFrame:
     """(a, b) as ``_links`` gives them, for up to ``graph.DRIVER_EDGES`` rows of ``family`` (node, h1, h2, rep, th, family).
 
-    The rounds are the same.  The driver holds a few numbers of each class, deals the
+    The rounds are the same, and which sets meet after them.  The driver holds a few numbers of each class, deals the
     classes to blocks and finds what links reach so far; the workers read texts and
     link.  So a round is one shuffle, however many partitions the session has.
     """
@@ -354,7 +419,15 @@ def _few_links(docs: DataFrame, family: DataFrame, by: Comparison) -> DataFrame:
     links = spark.createDataFrame(pa.table({"a": a, "b": b}))
     open_ = np.isin(of, of[goes])
     if open_.any():
-        links = links.unionByName(cut(meet(["family", "low", "high"], **_unlike_places(node[open_], of[open_], label[open_], draw)).select("a", "b")))
+        met = [x[open_] for x in (node, of, label)]
+        wide = open_ & (blocks[large] > MEET_BLOCKS) & by.sure
+        if wide.any():
+            members = F.broadcast(spark.createDataFrame(pa.table({"node": node[wide], "family": of[wide], "label": label[wide]})))
+            keyed, families = _by_keys(placed, members, by)
+            found, rest = keyed.toArrow(), ~np.isin(met[1], families)
+            met = [np.concatenate((x[rest], found.column(c).to_numpy())) for x, c in zip(met, ("node", "family", "label"), strict=True)]
+        if len(met[0]):
+            links = links.unionByName(cut(meet(["family", "low", "high"], **_unlike_places(*met, draw)).select("a", "b")))
     drop_cut(placed)
     return links
 
@@ -389,13 +462,12 @@ def _unlike_places(node: np.ndarray, family: np.ndarray, label: np.ndarray, draw
     return {"node": node, "family": family, "label": label} | out
 
 
-def _unlike_blocks(labelled: DataFrame, open_: DataFrame) -> DataFrame | None:
-    """(node, family, label, low, high, side) for every two blocks of a family in which sets have different labels; None if there are none.
+def _unlike_blocks(mine: DataFrame) -> DataFrame | None:
+    """(node, family, label, low, high, side) for every two blocks of a family of ``mine`` (node, family, label) in which sets have different labels; None if there are none.
 
     A label of ``BLOCK`` sets or more has blocks of its own, which meet those of others;
     the sets of smaller labels share blocks, and these meet themselves as well.
     """
-    mine = labelled.join(open_, "family", "left_semi")
     total = mine.count()
     if not total:
         return None

@@ -270,6 +270,35 @@ def test_components_at_the_driver_and_in_rounds(spark, monkeypatch):
     assert (60, 0) in few and (249, 150) in few and (-5, -7) in few
 
 
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_strangers_of_a_large_family_meet_by_keys(spark, most, monkeypatch):
+    """Each text shares a passage with the next one, so all are one family; its sets are not copied for every two blocks, and no link is lost."""
+    monkeypatch.setattr(linking, "BLOCK", 3)
+    monkeypatch.setattr(graph, "DRIVER_EDGES", most)
+    copies = []
+    places, blocks = linking._unlike_places, linking._unlike_blocks
+
+    def few(*args):
+        out = places(*args)
+        copies.append(int((out["parts"] - out["after"] + out["first"]).sum()))
+        return out
+
+    def many(*args):
+        out = blocks(*args)
+        copies.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "_unlike_places", few)
+    monkeypatch.setattr(linking, "_unlike_blocks", many)
+    texts = [" ".join(f"w{i * 4 + j}" for j in range(60)) for i in range(90)]
+    texts += [t + " more" for t in texts[::9]]  # links
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+    assert 0 < sum(copies) * 2 < len(texts) * len(texts) // 3, copies
+
+
 def test_few_classes_are_linked_in_few_jobs(spark, monkeypatch):
     """Large families take the same links by few stages as by many: in blocks, in rounds and between unlike blocks."""
     monkeypatch.setattr(linking, "BLOCK", 3)
