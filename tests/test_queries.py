@@ -58,6 +58,23 @@ def test_keyed_rule_hits_of_large_sources_and_runs(spark, tmp_path, monkeypatch)
     assert sorted(r.event_id for r in queries.keyed_rule_hits(spark, str(tmp_path)).collect()) == [1, 2, 3]
 
 
+def capless(monkeypatch, spark, tmp_path, remainders):
+    """A table of orders that are all in one source, with a cap that would let no finding through."""
+    monkeypatch.setattr(scan, "capped", lambda found, most: found.limit(0))
+    rows = [(50 * i + r, 7, "O") for i in range(1, 21) for r in remainders]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    return [r[0] for r in rows]
+
+
+def test_database_uris_of_large_sources(spark, tmp_path, monkeypatch):
+    """No cap of a source takes rows away."""
+    keys = capless(monkeypatch, spark, tmp_path, [2])
+    got = queries.database_uris(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert len(got) == len(keys) and rows_of(got) == rows_of(con.sql(oracles.ORACLE_SQL["database_uris"]).df())
+
+
 def test_entry(spark, small):
     frame = __spark_entry__.entry(spark)
     assert frame.count() > 0 and frame.columns[0] == "fingerprint"
